@@ -18,6 +18,7 @@ All columns share the windows and the join.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,29 +33,25 @@ from tidyloom.operators.order import (
     require_order,
 )
 
+# Where a direction looks for a value, in order of preference.
 _SIDES = {"forward": ("prev",), "backward": ("next",), "both": ("prev", "next")}
 
-_RN = HIDDEN + "rn"
+_NUMBER = HIDDEN + "number"
 _SIZE = HIDDEN + "size"
 _START = HIDDEN + "start"
+_TOP_START = HIDDEN + "top_start"
 
 
-def _name(side: str, i: int) -> str:
-    return f"{HIDDEN}{side}{i}"
+@dataclass(frozen=True)
+class _Look:
+    """One column looked up on one side, and the hidden columns of that lookup."""
 
+    column: str
+    side: str
+    index: int
 
-def _group_names(df: DataFrame) -> list[str]:
-    return [f"{HIDDEN}group{i}" for i in range(len(chunk_group(df)))]
-
-
-def _running(by: Sequence[str], order: Sequence[str], side: str, own_row: bool):
-    """Window of the rows before (``prev``) or after (``next``) the current one."""
-    keys = refs(order) if side == "prev" else [c.desc() for c in refs(order)]
-    return (
-        Window.partitionBy(*refs(by))
-        .orderBy(*keys)
-        .rowsBetween(Window.unboundedPreceding, 0 if own_row else -1)
-    )
+    def at(self, level: str) -> str:
+        return f"{HIDDEN}{level}_{self.side}{self.index}"
 
 
 def fill_directional(
@@ -78,139 +75,154 @@ def fill_directional(
         return df.withColumn(tally, F.lit(0)) if tally else df
     require_order(df, "directional fill")
 
+    looks = [_Look(c, side, i) for i, (c, sides) in enumerate(targets.items()) for side in sides]
     counted = limit is not None
-    near = _near_values(df, targets, trim, counted)
-    carry = _carried_values(near if counted else df, targets, trim, counted)
-    on = chunk_columns(df)
-    joined = near.join(carry, on)
+    near = _near(df, looks, trim, counted)
+    carried = _carried(_chunk_ends(near if counted else df, looks, trim, counted), df, looks, counted)
+    joined = near.join(carried, chunk_columns(df))
 
     new, fills = {}, []
-    for i, (c, sides) in enumerate(targets.items()):
-        found = [_value(i, side, limit) for side in sides]
+    for c in targets:
+        found = [_found(look, limit) for look in looks if look.column == c]
         filled = F.when(is_blank(ref(c), trim), F.coalesce(*found))
         fills.append(filled.isNotNull())
         new[c] = F.coalesce(filled, ref(c))
+    kept = list(df.columns)
     if tally is not None:
         new[tally] = count_true(fills)
-    kept = [*df.columns, *([tally] if tally and tally not in df.columns else [])]
-    return joined.withColumns(new).select(refs(kept))
+        kept.append(tally)
+    return joined.withColumns(new).select(refs(dict.fromkeys(kept)))
 
 
-def _near_values(
-    df: DataFrame, targets: Mapping[str, Sequence[str]], trim: bool, counted: bool
-) -> DataFrame:
-    """Nearest value before and after each row within its chunk."""
+def _running(by: Sequence[str], order: Sequence[str], side: str, own_row: bool = False):
+    """Window of the rows before (``prev``) or after (``next``) the current one."""
+    keys = refs(order) if side == "prev" else [c.desc() for c in refs(order)]
+    end = Window.currentRow if own_row else -1
+    window = Window.partitionBy(*refs(by)).orderBy(*keys)
+    return window.rowsBetween(Window.unboundedPreceding, end)
+
+
+def _near(df: DataFrame, looks: Sequence[_Look], trim: bool, counted: bool) -> DataFrame:
+    """Nearest (row number, value) on each side of a row, within its chunk."""
     on, order = chunk_columns(df), position_columns(df)
+    number = F.lit(0)
     if counted:
         number = F.row_number().over(Window.partitionBy(*refs(on)).orderBy(*refs(order)))
-        df = df.withColumn(_RN, number.cast("bigint"))
-    else:
-        df = df.withColumn(_RN, F.lit(0).cast("bigint"))
-    near = {}
-    for i, (c, sides) in enumerate(targets.items()):
-        for side in sides:
-            window = _running(on, order, side, own_row=True)
-            near[_name(side, i)] = F.last(_held(c, trim), ignorenulls=True).over(window)
-    return df.withColumns(near)
-
-
-def _held(c: str, trim: bool) -> Column:
-    """(row number, value) of a non-blank cell, else null."""
-    return F.when(~is_blank(ref(c), trim), F.struct(ref(_RN).alias("at"), ref(c).alias("v")))
+    df = df.withColumn(_NUMBER, number.cast("bigint"))
+    return df.withColumns(
+        {
+            look.at("near"): F.last(
+                F.when(~is_blank(ref(look.column), trim), _pair(ref(_NUMBER), ref(look.column))),
+                ignorenulls=True,
+            ).over(_running(on, order, look.side, own_row=True))
+            for look in looks
+        }
+    )
 
 
-def _carried_values(
-    df: DataFrame, targets: Mapping[str, Sequence[str]], trim: bool, counted: bool
+def _chunk_ends(
+    df: DataFrame, looks: Sequence[_Look], trim: bool, counted: bool
 ) -> DataFrame:
-    """Per chunk: nearest value outside it on either side, and rows before it.
+    """One row per chunk: its size, and the value that the chunks around it look at.
 
-    Row numbers are only needed, and only counted, under a limit. Without one the
-    summary is a map-side aggregation of the source columns.
+    Row numbers are counted only for a limit; otherwise this aggregates the source.
     """
-    on, order, scope = chunk_columns(df), position_columns(df), scope_of(df)
-    pairs = [(i, c, side) for i, (c, sides) in enumerate(targets.items()) for side in sides]
-
-    ends = [(F.count("*") if counted else F.lit(0).cast("bigint")).alias(_SIZE)]
-    for i, c, side in pairs:
-        # The value that a later chunk looks back to is the last one of this chunk.
-        pick = F.max if side == "prev" else F.min
-        where = F.struct(*refs(order)).alias("p")
-        number = (ref(_RN) if counted else F.lit(0).cast("bigint")).alias("at")
-        cell = F.struct(where, number, ref(c).alias("v"))
-        ends.append(pick(F.when(~is_blank(ref(c), trim), cell)).alias(_name("end", i) + side))
-    chunks = df.groupBy(*refs(on)).agg(*ends)
-
-    group = _group_names(df)
-    chunks = chunks.withColumns(dict(zip(group, chunk_group(df), strict=True)))
-    level = scope + group
-    inside = _running(level, on, "prev", own_row=False)
-    chunks = chunks.withColumn(_START, F.coalesce(F.sum(_SIZE).over(inside), F.lit(0)))
-    chunks = chunks.withColumns(
-        {
-            _name("end", i) + side: _moved(_name("end", i) + side, ref(_START))
-            for i, _, side in pairs
-        }
-    )
-    chunks = chunks.withColumns(
-        {
-            _name("in", i) + side: F.last(ref(_name("end", i) + side), ignorenulls=True).over(
-                _running(level, on, side, own_row=False)
-            )
-            for i, _, side in pairs
-        }
+    order = F.struct(*refs(position_columns(df)))
+    number = ref(_NUMBER) if counted else F.lit(0).cast("bigint")
+    ends = [F.count("*").alias(_SIZE)]
+    for look in looks:
+        cell = ref(look.column)
+        held = F.when(~is_blank(cell, trim), order)
+        ends.append(_outermost(look, _pair(number, cell), held).alias(look.at("end")))
+    return df.groupBy(*refs(chunk_columns(df))).agg(*ends)
+
+
+def _carried(
+    chunks: DataFrame, df: DataFrame, looks: Sequence[_Look], counted: bool
+) -> DataFrame:
+    """Per chunk: rows in front of it, and the nearest value outside it on each side."""
+    on, scope = chunk_columns(df), scope_of(df)
+    grouping = {f"{HIDDEN}group{i}": e for i, e in enumerate(chunk_group(df))}
+    level = [*scope, *grouping]
+    chunks = chunks.withColumns(grouping)
+    chunks = _from_start(chunks, level, on, looks, _START, counted)
+    inside = {
+        look.at("in"): F.last(ref(look.at("end")), ignorenulls=True).over(
+            _running(level, on, look.side)
+        )
+        for look in looks
+    }
+
+    groups = _group_ends(chunks, level, on, looks)
+    groups = _from_start(groups, scope, list(grouping), looks, _TOP_START, counted)
+    outside = [
+        F.last(ref(look.at("end")), ignorenulls=True)
+        .over(_running(scope, list(grouping), look.side))
+        .alias(look.at("out"))
+        for look in looks
+    ]
+    groups = groups.select(*refs(level), ref(_TOP_START), *outside)
+
+    joined = chunks.withColumns(inside).join(groups, level)
+    nearest = [
+        F.coalesce(_moved(ref(look.at("in")), ref(_TOP_START)), ref(look.at("out"))).alias(
+            look.at("carry")
+        )
+        for look in looks
+    ]
+    return joined.select(*refs(on), (ref(_START) + ref(_TOP_START)).alias(_START), *nearest)
+
+
+def _group_ends(
+    chunks: DataFrame, level: Sequence[str], on: Sequence[str], looks: Sequence[_Look]
+) -> DataFrame:
+    """The ends of the chunks, summed up once more per group of chunks."""
+    ends = [F.sum(_SIZE).alias(_SIZE)]
+    for look in looks:
+        end = ref(look.at("end"))
+        held = F.when(end.isNotNull(), F.struct(*refs(on)))
+        ends.append(_outermost(look, end, held).alias(look.at("end")))
+    return chunks.groupBy(*refs(level)).agg(*ends)
+
+
+def _outermost(look: _Look, value: Column, order: Column) -> Column:
+    """Looking back one meets the last value of a part first, looking ahead the first.
+    Parts whose ``order`` is null hold no value and are passed over."""
+    return F.max_by(value, order) if look.side == "prev" else F.min_by(value, order)
+
+
+def _from_start(
+    parts: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    looks: Sequence[_Look],
+    start: str,
+    counted: bool,
+) -> DataFrame:
+    """Add the number of rows before each part and count row numbers from there."""
+    if not counted:
+        return parts.withColumn(start, F.lit(0).cast("bigint"))
+    before = F.sum(_SIZE).over(_running(by, order, "prev"))
+    parts = parts.withColumn(start, F.coalesce(before, F.lit(0)))
+    return parts.withColumns(
+        {look.at("end"): _moved(ref(look.at("end")), ref(start)) for look in looks}
     )
 
-    tops = [F.sum(_SIZE).alias(_SIZE)]
-    for i, _, side in pairs:
-        pick = F.max_by if side == "prev" else F.min_by
-        end = ref(_name("end", i) + side)
-        at_chunk = F.when(end.isNotNull(), F.struct(*refs(on)))
-        tops.append(pick(end, at_chunk).alias(_name("end", i) + side))
-    groups = chunks.groupBy(*refs(level)).agg(*tops)
-    above = _running(scope, group, "prev", own_row=False)
-    top_start = _START + "_top"
-    groups = groups.withColumn(top_start, F.coalesce(F.sum(_SIZE).over(above), F.lit(0)))
-    groups = groups.withColumns(
-        {
-            _name("end", i) + side: _moved(_name("end", i) + side, ref(top_start))
-            for i, _, side in pairs
-        }
-    )
-    groups = groups.select(
-        *refs(level),
-        ref(top_start),
-        *[
-            F.last(ref(_name("end", i) + side), ignorenulls=True)
-            .over(_running(scope, group, side, own_row=False))
-            .alias(_name("out", i) + side)
-            for i, _, side in pairs
-        ],
-    )
 
-    both = chunks.join(groups, level)
-    return both.select(
-        *refs(on),
-        (ref(_START) + ref(top_start)).alias(_START),
-        *[
-            F.coalesce(
-                _moved(_name("in", i) + side, ref(top_start)), ref(_name("out", i) + side)
-            ).alias(_name("carry", i) + side)
-            for i, _, side in pairs
-        ],
-    )
+def _pair(number: Column, value: Column) -> Column:
+    return F.struct(number.alias("at"), value.alias("v"))
 
 
-def _moved(held: str, rows: Column) -> Column:
+def _moved(pair: Column, rows: Column) -> Column:
     """A (row number, value) pair with ``rows`` more rows in front of it."""
-    pair = ref(held)
-    moved = F.struct((pair["at"] + rows).alias("at"), pair["v"].alias("v"))
-    return F.when(pair.isNotNull(), moved)
+    return F.when(pair.isNotNull(), _pair(pair["at"] + rows, pair["v"]))
 
 
-def _value(i: int, side: str, limit: int | None) -> Column:
+def _found(look: _Look, limit: int | None) -> Column:
     """The nearest value on one side, if it is close enough."""
-    found = F.coalesce(_moved(_name(side, i), ref(_START)), ref(_name("carry", i) + side))
+    near = _moved(ref(look.at("near")), ref(_START))
+    found = F.coalesce(near, ref(look.at("carry")))
     if limit is None:
         return found["v"]
-    distance = F.abs(ref(_START) + ref(_RN) - found["at"])
+    distance = F.abs(ref(_START) + ref(_NUMBER) - found["at"])
     return F.when(distance <= limit, found["v"])

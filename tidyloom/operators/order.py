@@ -26,8 +26,7 @@ from pyspark.sql import types as T
 from tidyloom.names import BLOCK, CHUNK, FILE, ROW, ref, refs, scope_of
 from tidyloom.session import cut
 
-CHUNK_BITS = 20
-CHUNK_ROWS = 1 << CHUNK_BITS
+CHUNK_ROWS = 1 << 20
 # Chunks per second-level group, and bytes of file per second-level group
 # (1,024 splits of 128 MB).
 GROUP_BITS = 10
@@ -61,7 +60,7 @@ def attach_file_order(df: DataFrame) -> DataFrame:
         block.alias(BLOCK),
         row.alias(ROW),
     )
-    return ordered.withColumn(CHUNK, F.shiftright(ref(ROW), CHUNK_BITS))
+    return ordered.withColumn(CHUNK, _chunk_of(ref(ROW), CHUNK_ROWS))
 
 
 def attach_key_order(
@@ -81,12 +80,17 @@ def attach_key_order(
             number = position.cast("bigint")
             return df.withColumns({ROW: number, CHUNK: _chunk_of(number, width)})
     in_order = df.orderBy(*refs(keys)).withColumn(ROW, F.monotonically_increasing_id())
-    return cut(in_order.withColumn(CHUNK, F.shiftright(ref(ROW), CHUNK_BITS)))
+    return cut(in_order.withColumn(CHUNK, _chunk_of(ref(ROW), chunk_rows)))
 
 
 def _chunk_of(number: Column, width: int) -> Column:
-    """``number div width``: rises with the number, and cannot overflow."""
-    return F.call_function("div", number, F.lit(width).cast("bigint"))
+    """``number div width``: rises with the number, and cannot overflow.
+
+    Chunks are never null. Saying so keeps null filters, and with them differences
+    between otherwise equal branches of a plan, out of the joins on them.
+    """
+    chunk = F.call_function("div", number, F.lit(width).cast("bigint"))
+    return F.coalesce(chunk, F.lit(0))
 
 
 def _even_width(df: DataFrame, key: str, chunk_rows: int) -> int | None:
