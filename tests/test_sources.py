@@ -6,7 +6,7 @@ from tidyloom.names import data_columns, drop_hidden
 from tidyloom.operators.order import in_order
 from tidyloom.plans.clean import clean
 from tidyloom.plans.preview import preview
-from tidyloom.sources.batch import by_source, clean_many
+from tidyloom.sources.batch import by_source, clean_many, sources_in
 from tidyloom.sources.generator import VALUES, dirty_table
 from tidyloom.sources.headers import normalize_headers
 from tidyloom.sources.readers import format_of, load
@@ -154,6 +154,9 @@ def test_batch_shares_scans_but_not_rows(spark, tmp_path):
         "missing": {"fillForwardBackward": on(columns=["v"], directions={"v": "both"})},
     }
     other = {"columns": {"removeEmptyCols": on()}}
+    (tmp_path / "notes.txt").write_text("no table")
+    found = sources_in(spark, str(tmp_path))
+    assert [p.rpartition("/")[2] for p in found] == ["a.csv", "b.csv", "c.csv", "d.csv"]
     batches = clean_many(
         spark, {paths["a"]: shared, paths["c"]: other, paths["b"]: shared, paths["d"]: shared}
     )

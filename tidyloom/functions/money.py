@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidyloom.functions.whitespace import WS_BODY
+from tidyloom.functions.whitespace import UNICODE
 
 NUMBER = r"[-+]?[0-9]*\.?[0-9]+"
 
 
 def parse_number(c: Column) -> Column:
     """First number of the cell, after removing commas and white space."""
-    joined = F.regexp_replace(c, f"[,{WS_BODY}]+", "")
+    joined = F.regexp_replace(c, UNICODE + r"[,\s]+", "")
     return F.regexp_extract(joined, NUMBER, 0).try_cast("double")
 
 

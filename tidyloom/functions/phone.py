@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidyloom.functions.whitespace import WS
+from tidyloom.functions.whitespace import UNICODE
 
 
 def strip_pattern(country_code: str) -> str:
@@ -17,15 +17,12 @@ def strip_pattern(country_code: str) -> str:
     then any run of the bare country code. Anywhere else: all but the digits. A
     lone ``+`` needs no case of its own, as it is not a digit.
     """
-    s = f"{WS}*"
-    any_code = (
-        rf"{s}(?:\+{s}[0-9]+|\+{s}\({s}[0-9]+{s}\)|\({s}\+?[0-9]+{s}\)){s}"
-    )
+    any_code = r"\s*(?:\+\s*[0-9]+|\+\s*\(\s*[0-9]+\s*\)|\(\s*\+?[0-9]+\s*\))\s*"
     prefix = f"(?:{any_code})+"
     if country_code:
-        own_code = f"(?:{s}{country_code}{s})"
+        own_code = rf"(?:\s*{country_code}\s*)"
         prefix = f"(?:{prefix}{own_code}*|{own_code}+)"
-    return f"^{prefix}|[^0-9]+"
+    return f"{UNICODE}^{prefix}|[^0-9]+"
 
 
 def clean_phone(c: Column, country_code: str = "", output: str = "digits") -> Column:

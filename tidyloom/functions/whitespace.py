@@ -25,12 +25,9 @@ WHITE_SPACE_RANGES = (
 
 WHITE_SPACE = "".join(chr(p) for lo, hi in WHITE_SPACE_RANGES for p in range(lo, hi + 1))
 
-# The same set as the body of a character class; `\x{..}` is understood by Java and RE2.
-WS_BODY = "".join(
-    f"\\x{{{lo:X}}}" if lo == hi else f"\\x{{{lo:X}}}-\\x{{{hi:X}}}"
-    for lo, hi in WHITE_SPACE_RANGES
-)
-WS = f"[{WS_BODY}]"
+# Patterns start with this flag, so that `\s` is the same set. It also widens `\d`:
+# they write `[0-9]` for a digit.
+UNICODE = "(?U)"
 
 
 def trim_ws(c: Column) -> Column:
@@ -38,11 +35,16 @@ def trim_ws(c: Column) -> Column:
 
 
 def squeeze_ws(c: Column) -> Column:
-    return F.regexp_replace(c, WS + "+", " ")
+    return F.regexp_replace(c, UNICODE + r"\s+", " ")
 
 
 def remove_ws(c: Column) -> Column:
-    return F.regexp_replace(c, WS + "+", "")
+    return F.regexp_replace(c, UNICODE + r"\s+", "")
+
+
+def split_ws(c: Column) -> Column:
+    """The words of a cell; one empty word if it is blank."""
+    return F.split(trim_ws(c), UNICODE + r"\s+")
 
 
 def is_blank(c: Column, trim: bool = True) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.functions.whitespace import WHITE_SPACE, WS, is_blank, trim_ws, unless_blank
+from tidyloom.functions.whitespace import WHITE_SPACE, is_blank, split_ws, unless_blank
 from tidyloom.names import data_columns, hidden_columns, known, ref, refs
 from tidyloom.operators.cells import count_true
 
@@ -48,7 +48,7 @@ def split_column(
     if source not in have or not targets:
         return df, 0
     cell = F.coalesce(ref(source), F.lit(""))
-    parts = F.split(trim_ws(cell), WS + "+")
+    parts = split_ws(cell)
 
     def part(k: int) -> Column:
         if _strip(separator):

@@ -31,6 +31,7 @@ from tidyloom.operators.order import (
     chunk_group,
     position_columns,
     require_order,
+    with_solid_chunks,
 )
 
 # Where a direction looks for a value, in order of preference.
@@ -74,6 +75,7 @@ def fill_directional(
     if not targets or limit == 0:
         return df.withColumn(tally, F.lit(0)) if tally else df
     require_order(df, "directional fill")
+    df = with_solid_chunks(df)
 
     looks = [_Look(c, side, i) for i, (c, sides) in enumerate(targets.items()) for side in sides]
     counted = limit is not None

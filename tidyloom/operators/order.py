@@ -84,13 +84,8 @@ def attach_key_order(
 
 
 def _chunk_of(number: Column, width: int) -> Column:
-    """``number div width``: rises with the number, and cannot overflow.
-
-    Chunks are never null. Saying so keeps null filters, and with them differences
-    between otherwise equal branches of a plan, out of the joins on them.
-    """
-    chunk = F.call_function("div", number, F.lit(width).cast("bigint"))
-    return F.coalesce(chunk, F.lit(0))
+    """``number div width``: rises with the number, and cannot overflow."""
+    return F.call_function("div", number, F.lit(width).cast("bigint"))
 
 
 def _even_width(df: DataFrame, key: str, chunk_rows: int) -> int | None:
@@ -122,6 +117,19 @@ def chunk_columns(df: DataFrame) -> list[str]:
     return scope_of(df) + [c for c in (FILE, BLOCK, CHUNK) if c in df.columns]
 
 
+def with_solid_chunks(df: DataFrame) -> DataFrame:
+    """``df`` with chunk columns that are known never to be null.
+
+    They never are. Saying so keeps null filters, and with them differences between
+    otherwise equal branches of a plan, out of the joins on them.
+    """
+    zero = {"string": F.lit("")}
+    types = dict(df.dtypes)
+    return df.withColumns(
+        {c: F.coalesce(ref(c), zero.get(types[c], F.lit(0))) for c in chunk_columns(df)}
+    )
+
+
 def chunk_group(df: DataFrame) -> list[Column]:
     """Second level over chunks: contiguous, and about a thousand chunks each."""
     if BLOCK in df.columns:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Many cell expressions in one projection give a generated method beyond the size
+    # that the JVM compiles; from there on, separate smaller methods are faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -22,21 +26,28 @@ def build_session(app_name: str = "tidyloom", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a temporary folder only in local mode."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of the cluster, ``spark.checkpoint.dir``; in local mode a temporary one."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidyloom-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not context.getCheckpointDir():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            context.setCheckpointDir(configured)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tidyloom-checkpoint-"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared checkpoint folder and go on from that table.
+
+    Unlike a checkpoint of its partitions, a table lets each later step read only the
+    columns it needs. It outlives the executors that wrote it.
+    """
+    if not df.columns:
+        return df
+    path = f"{checkpoint_dir(df.sparkSession)}/tidyloom-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

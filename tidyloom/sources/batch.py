@@ -17,7 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidyloom.names import FILE, SCOPE, data_columns, ref
 from tidyloom.plans.clean import CleanResult, clean
 from tidyloom.rules import CleaningRules
-from tidyloom.sources.readers import format_of, load
+from tidyloom.sources.readers import format_of, is_known, load
+
+
+def sources_in(spark: SparkSession, folder: str) -> list[str]:
+    """The files below a folder whose extension names a known format, in path order."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return sorted(path for path in listing.inputFiles() if is_known(path))
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,7 @@ from tidyloom.operators.order import attach_file_order
 from tidyloom.sources.headers import normalize_headers
 from tidyloom.sources.text_table import to_text_table
 
-FORMATS = ("csv", "parquet", "json", "table")
+FILE_FORMATS = ("csv", "parquet", "json")
 
 _CSV_OPTIONS = {
     "sep": ",",
@@ -28,12 +28,19 @@ _CSV_OPTIONS = {
 }
 
 
+def _extension(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[2].rpartition(".")[2].lower()
+
+
+def is_known(path: str) -> bool:
+    return _extension(path) in FILE_FORMATS
+
+
 def format_of(path: str) -> str:
     """The format named by the extension of a path, in any case."""
-    extension = path.rstrip("/").rpartition("/")[2].rpartition(".")[2].lower()
-    if extension in FORMATS and extension != "table":
-        return extension
-    raise ValueError(f"unsupported format: {path}")
+    if not is_known(path):
+        raise ValueError(f"unsupported format: {path}")
+    return _extension(path)
 
 
 def load(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidyloom.functions.phone import strip_pattern
-from tidyloom.functions.whitespace import WHITE_SPACE, WS
+from tidyloom.functions.whitespace import WHITE_SPACE, WHITE_SPACE_RANGES
 from workload.fixtures import CUSTOMER, DOCUMENTS, EVENTS, LINEITEM, ORDERS, View
 
 
+_WS_BODY = "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in WHITE_SPACE_RANGES)
+WS = f"[{_WS_BODY}]"
+
+
 def _trim(x: str) -> str:
     return f"trim({x}, '{WHITE_SPACE}')"
 
@@ -31,7 +34,11 @@ def _q(name: str) -> str:
 
 
 def _phone(x: str, code: str = "", e164: bool = False) -> str:
-    digits = f"nullif(regexp_replace({x}, '{strip_pattern(code)}', '', 'g'), '')"
+    any_code = rf"\+{WS}*[0-9]+|\+{WS}*\({WS}*[0-9]+{WS}*\)|\({WS}*\+?[0-9]+{WS}*\)"
+    for prefix in (any_code, code):
+        if prefix:
+            x = f"regexp_replace({x}, '^({WS}*({prefix}){WS}*)+', '')"
+    digits = f"nullif(regexp_replace({x}, '[^0-9]', '', 'g'), '')"
     return f"('+{code}' || {digits})" if e164 else digits
 
 
@@ -89,7 +96,7 @@ def _date(fmt: str, on_invalid: str = "keep", utc: bool = False) -> str:
 
 def _money(x: str, places: int = 2, grouped: bool = True, symbol: str = "¥") -> str:
     number = (
-        f"try_cast(nullif(regexp_extract(regexp_replace({x}, '[,{WS[1:-1]}]', '', 'g'),"
+        f"try_cast(nullif(regexp_extract(regexp_replace({x}, '[,{_WS_BODY}]', '', 'g'),"
         r" '[-+]?[0-9]*\.?[0-9]+'), '') AS DOUBLE)"
     )
     comma = "," if grouped else ""
