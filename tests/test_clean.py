@@ -13,7 +13,7 @@ def on(**rule):
     return {"enabled": True, **rule}
 
 
-# The hand-made edge table: padded, blank and repeated cells, all date shapes, and
+# Fixed values, the hand-made edge table: padded, blank and repeated cells, all date shapes, and
 # three empty rows (first, in the middle, last).
 COLUMNS = [
     "id", "user_name", "age", "phone", "email", "join_date", "salary", "address_code",
@@ -161,8 +161,9 @@ def test_dedup_stage_last(edge):
     a, b = native.stats.first(), last.stats.first()
     assert (a["removedDuplicates"], a["removedEmptyRows"], a["rowsAfter"]) == (3, 1, 8)
     assert (b["removedDuplicates"], b["removedEmptyRows"], b["rowsAfter"]) == (1, 3, 8)
-    with pytest.raises(ValueError):
-        clean(edge, {}, dedup_stage="first")
+    for bad in ({"dedup_stage": "first"}, {"cuts": "often"}):
+        with pytest.raises(ValueError, match="unknown"):
+            clean(edge, {}, **bad)
 
 
 def test_rules_see_original_names_and_are_applied_in_order(text):
@@ -194,8 +195,8 @@ def test_preview_document(edge):
     assert page.columns == ["id", "user_name"] and page.count() == 3
 
 
-@pytest.mark.parametrize("cut_lineage", [True, False])
-def test_scope_keeps_tables_apart(spark, cut_lineage):
+@pytest.mark.parametrize("cuts", ["needed", "always", "never"])
+def test_scope_keeps_tables_apart(spark, cuts):
     rows = [("s1", 0, "x", "n"), ("s2", 1, "x", ""), ("s1", 2, "x", "n"), ("s2", 3, "y", "m")]
     df = spark.createDataFrame(rows, "s string, k long, a string, b string")
     rules = {
@@ -203,7 +204,7 @@ def test_scope_keeps_tables_apart(spark, cut_lineage):
         "dedup": on(),
         "missing": {"fillForwardBackward": on(columns=["b"])},
     }
-    result = clean(df, rules, order_by="k", scope="s", cut_lineage=cut_lineage)
+    result = clean(df, rules, order_by="k", scope="s", cuts=cuts)
     assert result.df.columns == ["a", "b"]
     # The gap in s2 is not filled from s1.
     assert [tuple(r) for r in preview(result).collect()] == [("x", "n"), ("x", ""), ("y", "m")]
@@ -236,8 +237,8 @@ def test_statistics_agree_with_the_rows(spark):
             },
             "columns": {"drop": on(columns=["row_key", "extra_col1", "extra_col2"])},
         }
-        stage = rng.choice(["native", "last"])
-        result = clean(table, rules, order_by="row_key", dedup_stage=stage)
+        stage, cuts = rng.choice(["native", "last"]), rng.choice(["needed", "always", "never"])
+        result = clean(table, rules, order_by="row_key", dedup_stage=stage, cuts=cuts)
         s = result.stats.first()
         assert s["rowsBefore"] == table.count()
         assert s["rowsAfter"] == result.df.count()

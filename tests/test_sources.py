@@ -5,6 +5,7 @@ import pytest
 from tidyloom.names import data_columns, drop_hidden
 from tidyloom.operators.order import in_order
 from tidyloom.plans.clean import clean
+from tidyloom.plans.files import export_file, preview_file
 from tidyloom.plans.preview import preview
 from tidyloom.sources.batch import by_source, clean_many, sources_in
 from tidyloom.sources.generator import VALUES, dirty_table
@@ -70,6 +71,23 @@ def test_headers_that_differ_in_case(spark, tmp_path):
         spark.conf.set("spark.sql.caseSensitive", "true")
 
 
+def test_reserved_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,__tl_row\n1,2\n")
+    with pytest.raises(ValueError, match="reserved"):
+        load(spark, str(tmp_path / "a.csv"))
+
+
+def test_a_given_order_replaces_the_order_of_the_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,a,v\n3,x,p\n1,x,q\n2,y,\n")
+    source = load(spark, str(tmp_path / "a.csv"))
+    rules = {"dedup": on(mode="byColumns", columns=["a"], keep="first")}
+    assert [r["k"] for r in preview(clean(source, rules)).collect()] == ["3", "2"]
+    assert [r["k"] for r in preview(clean(source, rules, order_by="k")).collect()] == ["1", "2"]
+    fill = {"missing": {"fillForwardBackward": on(columns=["v"])}}
+    assert [r["v"] for r in preview(clean(source, fill)).collect()] == ["p", "q", "q"]
+    assert [r["v"] for r in preview(clean(source, fill, order_by="k")).collect()] == ["q", "q", "p"]
+
+
 def test_line_breaks_inside_cells(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n"Eve\n",1\nx,2\n')
     assert table(load(spark, str(tmp_path / "a.csv"), multi_line=True)) == [
@@ -136,6 +154,25 @@ def test_file_order_reaches_the_rules(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_from_file_to_preview_and_to_file(spark, tmp_path):
+    (tmp_path / "people.csv").write_text("name,phone\n Bo ,+86 1\n,\n Bo ,+86 1\nAl,2\n")
+    rules = {
+        "format": {"text": on(trim=True), "phone": on(columns=["phone"])},
+        "dedup": on(),
+        "missing": {"removeEmptyRows": on()},
+    }
+    source = str(tmp_path / "people.csv")
+    document = preview_file(spark, source, rules, rows=1)
+    assert document["data"] == {
+        "columns": ["name", "phone"], "rows": [{"name": "Bo", "phone": "1"}],
+    }
+    assert document["stats"]["rowsBefore"] == 4 and document["stats"]["rowsAfter"] == 2
+    clock = lambda: datetime.datetime(2024, 1, 2, 3, 4, 5)
+    out = export_file(spark, source, rules, str(tmp_path), clock=clock)
+    assert out == f"{tmp_path}/people_cleaned_20240102_030405.csv"
+    assert table(load(spark, out)) == [("Bo", "1"), ("Al", "2")]
+
+
 def test_output_names():
     clock = lambda: datetime.datetime(2024, 1, 2, 3, 4, 5)
     assert cleaned_name("a.b.csv", "csv", clock) == "a.b_cleaned_20240102_030405.csv"

@@ -7,7 +7,7 @@ The order is cut into contiguous chunks of bounded size (see ``order``).
    forward to the end is evaluated anew for every row.
 2. Each chunk is summed up in one row: its first and its last value. The nearest
    value outside a chunk is looked up in two levels, chunks within a group of about a
-   thousand chunks, then groups. The top level has one row per 2^30 rows, or per
+   thousand chunks, then groups. The top level has one row per 2^28 rows, or per
    input file, so no level holds more than a sliver of the table.
 3. Those carried values are joined back on the chunk. The windows of step 1 are
    already partitioned and sorted by chunk, so the join moves only the small side.

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +25,8 @@ from pyspark.sql import types as T
 from tidyloom.names import BLOCK, CHUNK, FILE, ROW, ref, refs, scope_of
 from tidyloom.session import cut
 
-CHUNK_ROWS = 1 << 20
+# The unit of parallelism of a fill: a task holds whole chunks, so they are kept small.
+CHUNK_ROWS = 1 << 18
 # Chunks per second-level group, and bytes of file per second-level group
 # (1,024 splits of 128 MB).
 GROUP_BITS = 10
@@ -41,11 +41,7 @@ def is_ordered(df: DataFrame) -> bool:
 
 def _numbers_rows(df: DataFrame) -> bool:
     """Whether the source (parquet) knows the number of a row in its file."""
-    try:
-        df.select("_metadata.row_index")
-        return True
-    except AnalysisException:
-        return False
+    return "row_index" in df.select("_metadata").schema["_metadata"].dataType.fieldNames()
 
 
 def attach_file_order(df: DataFrame) -> DataFrame:
@@ -108,6 +104,10 @@ def _even_width(df: DataFrame, key: str, chunk_rows: int) -> int | None:
     return width if largest <= 4 * chunk_rows else None
 
 
+def without_order(df: DataFrame) -> DataFrame:
+    return df.select(refs(c for c in df.columns if c not in (FILE, BLOCK, ROW, CHUNK)))
+
+
 def position_columns(df: DataFrame) -> list[str]:
     """Sorting by these columns gives the order of the rows."""
     return scope_of(df) + [c for c in (FILE, BLOCK, ROW) if c in df.columns]

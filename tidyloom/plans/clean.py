@@ -21,7 +21,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.names import HIDDEN, SCOPE, data_columns, drop_hidden, ref, refs
+from tidyloom.names import SCOPE, data_columns, drop_hidden, ref, refs
 from tidyloom.operators.columns import (
     drop_columns,
     merge_columns,
@@ -39,7 +39,7 @@ from tidyloom.operators.formats import (
     format_text,
 )
 from tidyloom.operators.missing import empty_row, fill_default
-from tidyloom.operators.order import attach_key_order, is_ordered
+from tidyloom.operators.order import attach_key_order, without_order
 from tidyloom.plans.stats import TALLIES, Measure, stats_frame
 from tidyloom.rules import CleaningRules
 from tidyloom.session import cut
@@ -73,18 +73,23 @@ def clean(
     order_by: str | Sequence[str] | None = None,
     scope: str | None = None,
     dedup_stage: str = "native",
-    cut_lineage: bool = True,
+    cuts: str = "needed",
 ) -> CleanResult:
     """Apply a rule document to a table.
 
-    ``order_by`` names a unique key that gives the order of the rows; tables read by
-    ``tidyloom.sources`` have one already. ``scope`` names a column that separates
+    ``order_by`` names a unique key that gives the order of the rows; without it, tables
+    read by ``tidyloom.sources`` have the order of their files. ``scope`` names a column that separates
     independent tables: duplicates, fills and statistics stay within its values.
-    ``cut_lineage=False`` keeps the plan free of checkpoints.
+
+    ``cuts`` says after which shuffles of the whole table the lineage is cut: those that
+    a later step would repeat (``needed``), every one, for a caller that reads both
+    the table and the statistics (``always``), or none (``never``).
     """
     rules = CleaningRules.parse(rules)
     if dedup_stage not in ("native", "last"):
         raise ValueError(f"unknown dedup_stage: {dedup_stage}")
+    if cuts not in ("needed", "always", "never"):
+        raise ValueError(f"unknown cuts: {cuts}")
     require_row_local(df, rules)
 
     df = _prepared(df, rules, order_by, scope)
@@ -116,8 +121,7 @@ def clean(
     if rules.dedup.enabled and dedup_stage == "native":
         measures.append(Measure(df, "before"))
         df = _dedup(df, rules)
-        if cut_lineage and (fill.enabled or cols.remove_empty_cols.enabled):
-            df = cut(df)
+        df = _cut(df, cuts, needed=fill.enabled or cols.remove_empty_cols.enabled)
 
     if fmt.phone.enabled:
         df = format_phone(df, fmt.phone, TALLIES["phone"])
@@ -135,8 +139,7 @@ def clean(
         df = fill_directional(
             df, fill.columns, fill.directions, fill.limit, trim, TALLIES["directional"]
         )
-        if cut_lineage and cols.remove_empty_cols.enabled:
-            df = cut(df)
+        df = _cut(df, cuts, needed=cols.remove_empty_cols.enabled)
 
     gone = F.lit(False)
     if empty.enabled:
@@ -152,7 +155,7 @@ def clean(
             df, cols.remove_empty_cols.condition, trim
         )
     if rules.dedup.enabled and dedup_stage == "last":
-        df = _dedup(df, rules)
+        df = _cut(_dedup(df, rules), cuts, needed=False)
         measures.append(Measure(df, "last"))
 
     counts["renamedColumns"] = 0
@@ -171,14 +174,18 @@ def _prepared(
     """All-text table with its scope and row order as hidden columns."""
     if scope is not None:
         others = [c for c in df.columns if c != scope]
-        df = df.select(*refs(others), ref(scope).alias(SCOPE))
-    if order_by is not None and not is_ordered(df):
-        df = attach_key_order(
-            df, order_by, chunked=rules.missing.fill_forward_backward.enabled
-        )
+        named = F.coalesce(ref(scope).cast("string"), F.lit(""))
+        df = df.select(*refs(others), named.alias(SCOPE))
+    if order_by is not None:
+        fills = rules.missing.fill_forward_backward.enabled
+        df = attach_key_order(without_order(df), order_by, chunked=fills)
     return to_text_table(df)
 
 
+def _cut(df: DataFrame, cuts: str, needed: bool) -> DataFrame:
+    return cut(df) if cuts == "always" or (cuts == "needed" and needed) else df
+
+
 def _dedup(df: DataFrame, rules: CleaningRules) -> DataFrame:
     d = rules.dedup
     return dedup_rows(_without_tallies(df), d.mode, d.columns, d.keep, d.normalize_text)
@@ -187,6 +194,3 @@ def _dedup(df: DataFrame, rules: CleaningRules) -> DataFrame:
 def _without_tallies(df: DataFrame) -> DataFrame:
     tallies = set(TALLIES.values())
     return df.select(refs(c for c in df.columns if c not in tallies))
-
-
-assert all(name.startswith(HIDDEN) for name in TALLIES.values())

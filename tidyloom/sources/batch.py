@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidyloom.names import FILE, SCOPE, data_columns, ref
 from tidyloom.plans.clean import CleanResult, clean
 from tidyloom.rules import CleaningRules
-from tidyloom.sources.readers import format_of, is_known, load
+from tidyloom.sources.readers import format_of, is_known, layout_of, load
 
 
 def sources_in(spark: SparkSession, folder: str) -> list[str]:
@@ -47,10 +47,10 @@ def clean_many(
     for i, (path, document) in enumerate(rules_by_source.items()):
         rules = CleaningRules.parse(document)
         source_format = fmt or format_of(path)
-        columns = data_columns(load(spark, path, source_format, multi_line=multi_line))
+        layout = layout_of(spark, path, source_format, multi_line)
         alone = i if rules.columns.remove_empty_cols.enabled else None
         text = json.dumps(rules.to_document(), sort_keys=True)
-        key = (text, tuple(columns), source_format, alone)
+        key = (text, layout, source_format, alone)
         groups.setdefault(key, []).append(path)
         rules_of[key] = rules
     return [

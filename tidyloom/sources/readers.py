@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tidyloom.names import HIDDEN
 from tidyloom.operators.order import attach_file_order
 from tidyloom.sources.headers import normalize_headers
 from tidyloom.sources.text_table import to_text_table
@@ -69,6 +70,16 @@ def load(
     raise ValueError(f"unsupported format: {fmt}")
 
 
+def layout_of(spark: SparkSession, path: str, fmt: str, multi_line: bool = False) -> str:
+    """Names (and types, where the format has them) of the columns of a source.
+
+    Sources of one layout can be read together.
+    """
+    if fmt == "csv":
+        return repr(normalize_headers(csv_header(spark, path, multi_line)))
+    return spark.read.option("multiLine", multi_line).format(fmt).load(path).schema.json()
+
+
 def csv_header(spark: SparkSession, path: str, multi_line: bool = False) -> list[str | None]:
     """The raw cells of the first line of a file, or of the first file of a folder."""
     reader = spark.read.options(**_CSV_OPTIONS).option("multiLine", multi_line)
@@ -84,6 +95,9 @@ def _read_csv(
     spark: SparkSession, paths: Sequence[str], multi_line: bool, header_style: str
 ) -> DataFrame:
     names = normalize_headers(csv_header(spark, paths[0], multi_line), header_style)
+    reserved = [n for n in names if n.startswith(HIDDEN)]
+    if reserved:
+        raise ValueError(f"headers that start with {HIDDEN} are reserved: {reserved}")
     folded = {n.lower() for n in names}
     if len(folded) < len(names) and spark.conf.get("spark.sql.caseSensitive") != "true":
         raise ValueError("headers differ only in case: set spark.sql.caseSensitive=true")
