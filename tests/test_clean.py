@@ -7,6 +7,7 @@ from tidyloom.plans.clean import clean
 from tidyloom.plans.preview import clip, preview, preview_document
 from tidyloom.plans.stats import COUNTERS, nothing_matched, shrink_rate
 from tidyloom.sources.generator import dirty_table
+from tidyloom.sources.readers import load
 
 
 def on(**rule):
@@ -257,3 +258,20 @@ def test_formatting_twice_changes_nothing(spark):
     once = clean(dirty_table(spark.range(300)), rules)
     twice = clean(once.df, rules)
     assert twice.stats.select(nothing_matched()).first()[0]
+
+
+def test_a_fill_over_text_files_reads_one_scan(spark, tmp_path):
+    """Another scan may cut the file into other splits, and so into other chunks."""
+    body = "".join(f"{i},{'' if i % 3 else i}\n" for i in range(300))
+    (tmp_path / "a.csv").write_text("k,v\n" + body)
+    rules = {"missing": {"fillForwardBackward": on(columns=["v"])}}
+    source = load(spark, str(tmp_path / "a.csv"))
+    filled = clean(source, rules)
+    assert not any("a.csv" in f for f in filled.df.inputFiles())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert [r["v"] for r in preview(filled, 300).collect()] == [
+            str(i - i % 3) for i in range(300)
+        ]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -4,8 +4,9 @@ Order-dependent rules need a position per row and, for filling, contiguous chunk
 of bounded size. The position is attached once, next to the source, as hidden
 columns:
 
-* file sources: (file, start of the split, running number within the scan). The
-  number counts up inside a split, so this is the order of the rows in the files;
+* parquet files: (file, number of the row in it);
+* other files: (file, start of the split, running number within the scan). The number
+  counts up inside a split, so this is the order of the rows in the files;
 * a given ``order_by``: a unique key of the table.
 
 A chunk is a contiguous run of at most ``CHUNK_ROWS`` rows. Nothing here shuffles,
@@ -46,19 +47,25 @@ def _numbers_rows(df: DataFrame) -> bool:
 
 def attach_file_order(df: DataFrame) -> DataFrame:
     """Position from the scan itself. ``df`` must come straight from a file source."""
+    position = {FILE: F.col("_metadata.file_path")}
     if _numbers_rows(df):
-        block, row = F.lit(0).cast("bigint"), F.col("_metadata.row_index")
+        position[ROW] = F.col("_metadata.row_index")
     else:
-        block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
-    ordered = df.select(
-        "*",
-        F.col("_metadata.file_path").alias(FILE),
-        block.alias(BLOCK),
-        row.alias(ROW),
-    )
+        position[BLOCK] = F.col("_metadata.file_block_start")
+        position[ROW] = F.monotonically_increasing_id()
+    ordered = df.select("*", *[e.alias(c) for c, e in position.items()])
     return ordered.withColumn(CHUNK, _chunk_of(ref(ROW), CHUNK_ROWS))
 
 
+def depends_on_splits(df: DataFrame) -> bool:
+    """Whether another scan of the same files may cut them into other chunks.
+
+    The order of the rows is the same then, but their numbers are not: the splits of
+    a text file follow the number of cores at hand when the scan starts.
+    """
+    return BLOCK in df.columns
+
+
 def attach_key_order(
     df: DataFrame,
     order_by: str | Sequence[str],
@@ -132,10 +139,10 @@ def with_solid_chunks(df: DataFrame) -> DataFrame:
 
 def chunk_group(df: DataFrame) -> list[Column]:
     """Second level over chunks: contiguous, and about a thousand chunks each."""
+    file = refs(c for c in (FILE,) if c in df.columns)
     if BLOCK in df.columns:
-        file = [FILE] if FILE in df.columns else []
-        return [*refs(file), F.shiftright(ref(BLOCK), GROUP_BYTES_BITS)]
-    return [F.shiftright(ref(CHUNK), GROUP_BITS)]
+        return [*file, F.shiftright(ref(BLOCK), GROUP_BYTES_BITS)]
+    return [*file, F.shiftright(ref(CHUNK), GROUP_BITS)]
 
 
 def position(df: DataFrame) -> Column:

@@ -39,8 +39,8 @@ from tidyloom.operators.formats import (
     format_text,
 )
 from tidyloom.operators.missing import empty_row, fill_default
-from tidyloom.operators.order import attach_key_order, without_order
-from tidyloom.plans.stats import TALLIES, Measure, stats_frame
+from tidyloom.operators.order import attach_key_order, depends_on_splits, without_order
+from tidyloom.plans.stats import COLUMN_COUNTERS, TALLIES, Measure, stats_frame
 from tidyloom.rules import CleaningRules
 from tidyloom.session import cut
 from tidyloom.sources.text_table import to_text_table
@@ -81,9 +81,10 @@ def clean(
     read by ``tidyloom.sources`` have the order of their files. ``scope`` names a column that separates
     independent tables: duplicates, fills and statistics stay within its values.
 
-    ``cuts`` says after which shuffles of the whole table the lineage is cut: those that
-    a later step would repeat (``needed``), every one, for a caller that reads both
-    the table and the statistics (``always``), or none (``never``).
+    ``cuts`` says where the lineage is cut: where a later step would repeat a shuffle of
+    the whole table or must find the same scan again (``needed``), also after every
+    other such shuffle, for a caller that reads both the table and the statistics
+    (``always``), or nowhere (``never``).
     """
     rules = CleaningRules.parse(rules)
     if dedup_stage not in ("native", "last"):
@@ -93,78 +94,87 @@ def clean(
     require_row_local(df, rules)
 
     df = _prepared(df, rules, order_by, scope)
-    missing, fmt, cols = rules.missing, rules.format, rules.columns
+    missing, cols = rules.missing, rules.columns
+    dedup_early = rules.dedup.enabled and dedup_stage == "native"
+    dedup_late = rules.dedup.enabled and dedup_stage == "last"
+    fills, prunes = missing.fill_forward_backward.enabled, cols.remove_empty_cols.enabled
     trim = missing.trim_whitespace_for_empty_check
-    fill, empty = missing.fill_forward_backward, missing.remove_empty_rows
-    counts = {"colsBefore": len(data_columns(df))}
+    counts = dict.fromkeys(COLUMN_COUNTERS, 0) | {"colsBefore": len(data_columns(df))}
     measures = []
 
-    dropped = added = merged_away = 0
-    if cols.drop.enabled:
-        df, dropped = drop_columns(df, cols.drop.columns)
-    if cols.split.enabled:
-        s = cols.split
-        df, added = split_column(df, s.column, s.separator, s.into, s.keep_original)
-    if cols.merge.enabled:
-        m = cols.merge
-        df, merged_away = merge_columns(
-            df, m.columns, m.separator, m.into, m.drop_sources, TALLIES["merged"]
-        )
-    counts["droppedColumns"] = dropped + merged_away
-    counts["splitColumnsAdded"] = added
-
-    if fmt.text.enabled:
-        df = format_text(df, fmt.text, TALLIES["text"])
-    if fmt.email.enabled:
-        df = format_email(df, fmt.email, TALLIES["email"])
-
-    if rules.dedup.enabled and dedup_stage == "native":
+    df = _reshape(df, rules, counts)
+    df = _tidy_text(df, rules)
+    if dedup_early:
         measures.append(Measure(df, "before"))
-        df = _dedup(df, rules)
-        df = _cut(df, cuts, needed=fill.enabled or cols.remove_empty_cols.enabled)
-
-    if fmt.phone.enabled:
-        df = format_phone(df, fmt.phone, TALLIES["phone"])
-    if fmt.date.enabled:
-        df = format_date(df, fmt.date, TALLIES["date"])
-    if fmt.currency.enabled:
-        df = format_currency(df, fmt.currency, TALLIES["currency"])
+        df = _cut_if(fills or prunes, _dedup(df, rules), cuts)
+    df = _unify_formats(df, rules)
 
     if missing.fill_default.enabled:
         d = missing.fill_default
-        df = fill_default(
-            df, d.columns, d.values, d.only_when_empty, trim, TALLIES["default"]
-        )
-    if fill.enabled:
-        df = fill_directional(
-            df, fill.columns, fill.directions, fill.limit, trim, TALLIES["directional"]
-        )
-        df = _cut(df, cuts, needed=cols.remove_empty_cols.enabled)
+        df = fill_default(df, d.columns, d.values, d.only_when_empty, trim, TALLIES["default"])
+    if fills:
+        # A fill reads the table twice and must find the same chunks both times.
+        if depends_on_splits(df) and not dedup_early and cuts != "never":
+            df = cut(df)
+        f = missing.fill_forward_backward
+        df = fill_directional(df, f.columns, f.directions, f.limit, trim, TALLIES["directional"])
+        df = _cut_if(prunes, df, cuts)
 
     gone = F.lit(False)
-    if empty.enabled:
-        gone = empty_row(df, empty.condition, empty.columns_mode, empty.columns, trim)
-    measures.append(Measure(df, "after" if measures else "only", gone))
-    if empty.enabled:
+    if missing.remove_empty_rows.enabled:
+        r = missing.remove_empty_rows
+        gone = empty_row(df, r.condition, r.columns_mode, r.columns, trim)
+    measures.append(Measure(df, "after" if dedup_early else "only", gone))
+    if missing.remove_empty_rows.enabled:
         df = df.where(~gone)
     df = _without_tallies(df)
 
-    counts["removedEmptyCols"] = 0
-    if cols.remove_empty_cols.enabled:
-        df, counts["removedEmptyCols"] = remove_empty_columns(
-            df, cols.remove_empty_cols.condition, trim
-        )
-    if rules.dedup.enabled and dedup_stage == "last":
-        df = _cut(_dedup(df, rules), cuts, needed=False)
+    if prunes:
+        condition = cols.remove_empty_cols.condition
+        df, counts["removedEmptyCols"] = remove_empty_columns(df, condition, trim)
+    if dedup_late:
+        df = _cut_if(False, _dedup(df, rules), cuts)
         measures.append(Measure(df, "last"))
-
-    counts["renamedColumns"] = 0
     if cols.rename.enabled:
         df, counts["renamedColumns"] = rename_columns(df, cols.rename.mappings)
     counts["colsAfter"] = len(data_columns(df))
     return CleanResult(df, tuple(measures), counts)
 
 
+def _reshape(df: DataFrame, rules: CleaningRules, counts: dict[str, int]) -> DataFrame:
+    drop, split, merge = rules.columns.drop, rules.columns.split, rules.columns.merge
+    if drop.enabled:
+        df, counts["droppedColumns"] = drop_columns(df, drop.columns)
+    if split.enabled:
+        df, counts["splitColumnsAdded"] = split_column(
+            df, split.column, split.separator, split.into, split.keep_original
+        )
+    if merge.enabled:
+        df, dropped = merge_columns(
+            df, merge.columns, merge.separator, merge.into, merge.drop_sources, TALLIES["merged"]
+        )
+        counts["droppedColumns"] += dropped
+    return df
+
+
+def _tidy_text(df: DataFrame, rules: CleaningRules) -> DataFrame:
+    if rules.format.text.enabled:
+        df = format_text(df, rules.format.text, TALLIES["text"])
+    if rules.format.email.enabled:
+        df = format_email(df, rules.format.email, TALLIES["email"])
+    return df
+
+
+def _unify_formats(df: DataFrame, rules: CleaningRules) -> DataFrame:
+    if rules.format.phone.enabled:
+        df = format_phone(df, rules.format.phone, TALLIES["phone"])
+    if rules.format.date.enabled:
+        df = format_date(df, rules.format.date, TALLIES["date"])
+    if rules.format.currency.enabled:
+        df = format_currency(df, rules.format.currency, TALLIES["currency"])
+    return df
+
+
 def _prepared(
     df: DataFrame,
     rules: CleaningRules,
@@ -182,7 +192,7 @@ def _prepared(
     return to_text_table(df)
 
 
-def _cut(df: DataFrame, cuts: str, needed: bool) -> DataFrame:
+def _cut_if(needed: bool, df: DataFrame, cuts: str) -> DataFrame:
     return cut(df) if cuts == "always" or (cuts == "needed" and needed) else df
 
 

@@ -57,6 +57,15 @@ COUNTERS = (
     "mergedColumnsAdded",
 )
 SHAPE_COUNTERS = COUNTERS[:4]
+# Known when the plan is built, from the names of the columns alone.
+COLUMN_COUNTERS = (
+    "colsBefore",
+    "colsAfter",
+    "removedEmptyCols",
+    "renamedColumns",
+    "droppedColumns",
+    "splitColumnsAdded",
+)
 
 
 @dataclass(frozen=True)
