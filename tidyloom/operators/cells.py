@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
 from operator import add
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +15,17 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def count_true(flags: list[Column]) -> Column:
+def fold(combine: Callable[[Column, Column], Column], parts: Sequence[Column]) -> Column:
+    """Combine in pairs: over a wide table a chain would be too deep for the planner."""
+    while len(parts) > 1:
+        pairs = zip(parts[::2], parts[1::2], strict=False)
+        parts = [combine(a, b) for a, b in pairs] + list(parts[len(parts) - len(parts) % 2 :])
+    return parts[0]
+
+
+def count_true(flags: Sequence[Column]) -> Column:
     """How many of the conditions hold in a row."""
-    return reduce(add, [f.cast("int") for f in flags], F.lit(0))
+    return fold(add, [f.cast("int") for f in flags]) if flags else F.lit(0)
 
 
 def replace_cells(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidyloom.functions.whitespace import is_blank
 from tidyloom.names import known, ref, resolve
-from tidyloom.operators.cells import replace_cells
+from tidyloom.operators.cells import fold, replace_cells
 
 
 def fill_default(
@@ -45,7 +44,7 @@ def empty_row(
     if not targets:
         return F.lit(False)
     blanks = [is_blank(ref(c), trim) for c in targets]
-    return reduce(and_ if condition == "all" else or_, blanks)
+    return fold(and_ if condition == "all" else or_, blanks)
 
 
 def remove_empty_rows(

@@ -16,6 +16,8 @@ SETTINGS = {
     # Many cell expressions in one projection give a generated method beyond the size
     # that the JVM compiles; from there on, separate smaller methods are faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording the Python line of each expression doubles the time to plan wide tables.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
