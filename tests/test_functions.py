@@ -253,3 +253,18 @@ def test_money_equals_exact_rounding(column):
     for places in (0, 1, 2, 3):
         got = column([str(n) for n in numbers], lambda c, p=places: clean_currency(c, "", p))
         assert got == [f"{n:,.{places}f}" for n in numbers]
+
+
+def test_long_cells_take_linear_time(column):
+    """Cells that make a backtracking pattern quadratic, or exhaust its stack."""
+    n = 200_000
+    gap = " " * n
+    long = [f"2023-01-01{gap}x", f"2023-01-01 10:00{gap}x", f"{gap}x", f"a{gap}:{gap}b", "日" * n]
+    assert column(long, lambda c: clean_date(c)) == long
+    spaced = [f"2023-01-01{gap}10:00{gap}", f"2023{gap}-{gap}1-1"]
+    assert column(spaced, lambda c: clean_date(c)) == ["2023-01-01"] * 2
+    codes = ["(1)" * n + "5", "+1 " * n + "5", "86 " * n + "5", f"+{gap}5", f"({gap}5"]
+    assert column(codes, lambda c: clean_phone(c, "86")) == ["5", "5", "5", None, "5"]
+    assert column([f"RMB{gap}1{gap}2,", "1" * 300 + "x"], lambda c: clean_currency(c))[0] == "¥12.00"
+    assert column([f"{gap}a{gap}b{gap}"], lambda c: clean_text(c, True, True)) == ["a b"]
+    assert column([f"{gap}a{gap}b{gap}"], lambda c: clean_text(c, True)) == [f"a{gap}b"]

@@ -40,15 +40,18 @@ _ZONE = "(Z|[+-][0-9]{2}:?[0-9]{2})"
 _CLOCK = "([0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2})?)"
 _YEAR_FIRST = (
     rf"([0-9]{{4}}){_SEP}([0-9]{{1,2}}){_SEP}([0-9]{{1,2}})"
-    rf"(?:(?:[\s日]+|T){_CLOCK}(?:\.[0-9]+)?\s*{_ZONE}?)?"
+    rf"(?:(?:[\s日]+|T){_CLOCK}(?:\.[0-9]+)?\s*+{_ZONE}?)?"
 )
 _COMPACT = "([0-9]{4})([0-9]{2})([0-9]{2})"
 _DAY_FIRST = rf"([0-9]{{1,2}}){_SEP}([0-9]{{1,2}}){_SEP}([0-9]{{4}})"
 
 # The last alternative takes whatever is no date and leaves all groups empty.
 DATE_PATTERN = (
-    rf"{UNICODE}(?s)^\s*(?:{_YEAR_FIRST}|{_COMPACT}|{_DAY_FIRST})[\s日]*:?\s*$|^.*$"
+    rf"{UNICODE}(?s)^\s*(?:{_YEAR_FIRST}|{_COMPACT}|{_DAY_FIRST})[\s日]*+:?\s*+$|^.*$"
 )
+# Quantifiers that take all they can, and a start only at the first of several spaces,
+# keep the time linear in the length of a cell.
+_BESIDE_SEPARATORS = UNICODE + r"(?<!\s)\s++([:-])\s*+|([:-])\s++"
 _REWRITTEN = "$1$6$11-$2$7$10-$3$8$9 $4"
 _REWRITTEN_ZONE = "$5"
 
@@ -56,7 +59,7 @@ _REWRITTEN_ZONE = "$5"
 def _tidy(c: Column) -> Column:
     """Marks to separators, and no white space next to ``:`` and ``-``."""
     separated = F.translate(c, MARKS, MARK_TARGETS)
-    return F.regexp_replace(separated, UNICODE + r"\s+([:-])\s*|([:-])\s+", "$1$2")
+    return F.regexp_replace(separated, _BESIDE_SEPARATORS, "$1$2")
 
 
 def _wall_time(c: Column) -> Column:

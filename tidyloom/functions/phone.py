@@ -17,11 +17,13 @@ def strip_pattern(country_code: str) -> str:
     then any run of the bare country code. Anywhere else: all but the digits. A
     lone ``+`` needs no case of its own, as it is not a digit.
     """
+    # Possessive loops never give back a code: nothing that follows could make them, and
+    # they need no stack for cells with many codes.
     any_code = r"\s*(?:\+\s*[0-9]+|\+\s*\(\s*[0-9]+\s*\)|\(\s*\+?[0-9]+\s*\))\s*"
-    prefix = f"(?:{any_code})+"
+    prefix = f"(?:{any_code})++"
     if country_code:
         own_code = rf"(?:\s*{country_code}\s*)"
-        prefix = f"(?:{prefix}{own_code}*|{own_code}+)"
+        prefix = f"(?:{prefix}{own_code}*+|{own_code}++)"
     return f"{UNICODE}^{prefix}|[^0-9]+"
 
 
