@@ -250,7 +250,9 @@ def test_money_examples(column):
 def test_money_equals_exact_rounding(column):
     rng = random.Random(3)
     numbers = [round(rng.uniform(-1e6, 1e6), rng.randint(0, 5)) for _ in range(2000)]
-    for places in (0, 1, 2, 3):
+    numbers += [rng.randint(-10**6, 10**6) / 8 for _ in range(500)]  # ties
+    numbers += [rng.uniform(-1, 1) * 10 ** rng.randint(6, 15) for _ in range(2000)]
+    for places in (0, 1, 2, 3, 5):
         got = column([str(n) for n in numbers], lambda c, p=places: clean_currency(c, "", p))
         assert got == [f"{n:,.{places}f}" for n in numbers]
 

@@ -16,6 +16,18 @@ def parse_number(c: Column) -> Column:
     return F.regexp_extract(joined, NUMBER, 0).try_cast("double")
 
 
+def _exact(number: Column) -> Column:
+    """The decimal value of a double from 2^34 to 2^62, digit by digit.
+
+    A formatted double ends where its shortest spelling ends. In this range it has at
+    most 18 binary places, and they are 18 decimal places: 10^18 / 2^18 = 5^18.
+    """
+    whole = number.cast("bigint")
+    places = ((number - whole) * (1 << 18)).cast("bigint") * 5**18
+    fraction = places.cast("decimal(18,0)") * F.lit("1e-18").cast("decimal(18,18)")
+    return (whole.cast("decimal(19,0)") + fraction.cast("decimal(18,18)")).cast("decimal(38,18)")
+
+
 def clean_currency(
     c: Column,
     symbol: str = "¥",
@@ -24,9 +36,12 @@ def clean_currency(
 ) -> Column:
     """Symbol, sign, number. Ties round to even. A cell without a number is kept."""
     number = parse_number(c)
-    if thousands_separator:
-        text = F.format_number(number, decimal_places)
-    else:
-        pattern = "0." + "0" * decimal_places if decimal_places else "0"
-        text = F.call_function("format_number", number, F.lit(pattern))
-    return F.coalesce(F.concat(F.lit(symbol), text), c)
+    layout = "#,##0" if thousands_separator else "0"
+    layout += "." + "0" * decimal_places if decimal_places else ""
+
+    def text(value: Column) -> Column:
+        return F.call_function("format_number", value, F.lit(layout))
+
+    long = F.abs(number).between(float(1 << 34), float(1 << 62))
+    written = F.when(long, text(_exact(number))).otherwise(text(number))
+    return F.coalesce(F.concat(F.lit(symbol), written), c)
