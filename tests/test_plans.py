@@ -78,3 +78,12 @@ def test_tallies_cost_nothing_unless_asked_for(spark, plan):
     rules = {"format": {"text": {"enabled": True, "trim": True}}, "dedup": {"enabled": True}}
     result = clean(df, rules)
     assert "__tl_n_" not in plan(result.df) and "__tl_n_" in plan(result.stats)
+
+
+def test_removing_empty_rows_does_not_evaluate_the_formats_twice(spark, plan):
+    df = spark.read.parquet(f"{SF}/customer.parquet")
+    rules = {
+        "format": {"phone": {"enabled": True, "columns": ["c_name"]}},
+        "missing": {"removeEmptyRows": {"enabled": True, "condition": "any"}},
+    }
+    assert plan(clean(df, rules).df).count("regexp_replace") == 1

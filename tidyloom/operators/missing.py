@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.functions.whitespace import is_blank
-from tidyloom.names import known, ref, resolve
+from tidyloom.names import HIDDEN, known, ref, resolve
 from tidyloom.operators.cells import fold, replace_cells
 
+_WANTED = HIDDEN + "wanted"
+
 
 def fill_default(
     df: DataFrame,
@@ -54,4 +56,15 @@ def remove_empty_rows(
     columns: Sequence[str] = (),
     trim: bool = True,
 ) -> DataFrame:
-    return df.where(~empty_row(df, condition, columns_mode, columns, trim))
+    return drop_rows(df, empty_row(df, condition, columns_mode, columns, trim))
+
+
+def drop_rows(df: DataFrame, unwanted: Column) -> DataFrame:
+    """Remove rows by a test of cells that were computed at some cost.
+
+    A plain filter would be moved in front of the projections it depends on, and all
+    their expressions be evaluated twice. It stays behind a projection that depends on
+    the task, if only in form.
+    """
+    wanted = ~unwanted & (F.spark_partition_id() >= 0)
+    return df.withColumn(_WANTED, wanted).where(ref(_WANTED)).drop(_WANTED)

@@ -38,7 +38,7 @@ from tidyloom.operators.formats import (
     format_phone,
     format_text,
 )
-from tidyloom.operators.missing import empty_row, fill_default
+from tidyloom.operators.missing import drop_rows, empty_row, fill_default
 from tidyloom.operators.order import attach_key_order, depends_on_splits, without_order
 from tidyloom.plans.stats import COLUMN_COUNTERS, TALLIES, Measure, stats_frame
 from tidyloom.rules import CleaningRules
@@ -126,7 +126,7 @@ def clean(
         gone = empty_row(df, r.condition, r.columns_mode, r.columns, trim)
     measures.append(Measure(df, "after" if dedup_early else "only", gone))
     if missing.remove_empty_rows.enabled:
-        df = df.where(~gone)
+        df = drop_rows(df, gone)
     df = _without_tallies(df)
 
     if prunes:
