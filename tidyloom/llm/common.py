@@ -67,7 +67,7 @@ def stratified(
     return known.where(draw < share[column(label_col)])
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, parts: int = 1000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, parts: int = 1000) -> DataFrame:
     """Inner join where ``right`` has one row per key and ``weight``, the number of left rows of that key.
 
     Keys with more than 1/``parts`` of all left rows, of which there can be at most ``parts``, are

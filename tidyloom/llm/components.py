@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidyloom.llm.common import join_hot
 from tidyloom.session import cut
 
 
@@ -21,7 +22,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         edges = cut(_small_star(cut(_large_star(edges))))
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.sum("v")).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == before:
             break
         before = now
@@ -41,3 +42,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def smallest_members(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Give every row of ``nodes(node, id)`` the smallest ``id`` of its component: ``(node, component_id)``.
+
+    Nodes are unique. A component may hold any share of the nodes: its smallest identifier is found
+    by a reduction and brought back by ``join_hot``.
+    """
+    roots = cut(connected_components(links))
+    linked = cut(nodes.join(roots, "node"))
+    least = cut(linked.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("size")))
+    moved = join_hot(linked, least, "root", "size").select("node", "component_id")
+    alone = nodes.join(roots, "node", "left_anti").select("node", F.col("id").alias("component_id"))
+    return moved.unionByName(alone)
