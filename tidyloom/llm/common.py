@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidyloom.session import checkpoint_dir, cut
+
 #: Bytes and rows of one Arrow batch, so that a worker's memory does not depend on the lengths of texts.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 
 
+#: Rows up to which a counted table is broadcast: of a few numbers or one word each, so below 100 MB in memory.
+BROADCAST_ROWS = 500_000
+
+
 def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -23,16 +31,26 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
 
 
+def batches(spark: SparkSession) -> None:
+    """Bound the batches that the session sends to Python workers, in bytes too."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_pandas(
     df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str
 ) -> DataFrame:
-    """``mapInPandas`` with batches of bounded bytes (settings of the session)."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInPandas`` with batches of bounded bytes."""
+    batches(df.sparkSession)
     return df.mapInPandas(function, schema)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """A table cut to the shared folder, marked for broadcasting if it was counted to be small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def fold(id_col: str | Column, n: int) -> Column:
     """crc32 of the identifier as text, modulo ``n``; null for a null identifier."""
     c = column(id_col) if isinstance(id_col, str) else id_col
@@ -77,3 +95,23 @@ def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], weight: st
     hot = right.where(F.col(weight) > total / parts)
     rest = right.where(F.col(weight) <= total / parts)
     return left.join(F.broadcast(hot), key).unionByName(left.join(rest, key))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files in the shared folder of the cluster, as a URI."""
+    base = checkpoint_dir(spark)
+    if base.startswith("/"):
+        base = "file://" + base
+    elif base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base.removeprefix("file:")
+    return f"{base}/tidyloom-{name}-{uuid.uuid4()}"
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path in it; any store that Arrow can open."""
+    return fs.FileSystem.from_uri(uri)
+
+
+def one_file_a_task(files: DataFrame) -> DataFrame:
+    """Deal a counted list of files to as many tasks."""
+    return files.repartition(max(1, min(files.count(), 100_000)))

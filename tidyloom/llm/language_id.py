@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm.common import column, fold, map_pandas, narrow, stratified
+from tidyloom.llm.common import batches, column, fold, map_pandas, narrow, stratified
 
 CHUNK, HIDDEN, ROWS = 128, 8, 2048
 #: Bounds of the training sample: documents of a language, windows of a document, bytes of a window.
@@ -183,8 +183,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     rows = df.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), column(lang_col).alias("lang"))
     rows = stratified(rows.where("length(text) > 0"), "doc_id", "lang", PER_LANGUAGE)
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in frames:
             out = []
             for i, text, lang in zip(b["doc_id"], b["text"], b["lang"], strict=True):
                 data = text.encode("utf-8", "replace")
@@ -213,8 +213,8 @@ def identify(df: DataFrame, model: dict[str, Any] | None, id_col: str = "doc_id"
     """
     rows = narrow(df, id_col, text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in frames:
             names, scores = predict(model, list(b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": names, "score": scores})
 
@@ -229,3 +229,17 @@ def learn_and_identify(docs: DataFrame) -> DataFrame:
     """Learn from two of three folds of ``docs`` and identify all of it."""
     model = fit(docs.where(~held_out()))
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: dict[str, Any] | None, least: float = 0.0, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` with a recognized language of at least that score, which replaces the one given; all columns stay."""
+
+    @F.pandas_udf("lang string, score double")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        names, scores = predict(model, list(texts))
+        return pd.DataFrame({"lang": names, "score": scores})
+
+    batches(docs.sparkSession)
+    named = docs.withColumn("__found", found(column(text_col)))
+    kept = named.where((F.col("__found.lang") != UNDETERMINED) & (F.col("__found.score") >= least))
+    return kept.withColumn(lang_col, F.col("__found.lang")).select(*[column(c) for c in docs.columns])
