@@ -257,6 +257,16 @@ def test_money_equals_exact_rounding(column):
         assert got == [f"{n:,.{places}f}" for n in numbers]
 
 
+def test_money_keeps_the_digits_of_large_numbers(column):
+    rng = random.Random(4)
+    numbers = [rng.uniform(-1, 1) * 10 ** rng.randint(15, 37) for _ in range(2000)]
+    numbers += [s * 2.0**k for k in range(33, 126) for s in (1, -1)]
+    numbers += [61102227457330143937.125, 2.0**62 - 512, 2.0**62 + 1024]
+    for places in (0, 2):
+        got = column([repr(n) if "e" not in repr(n) else f"{n:.0f}" for n in numbers], lambda c, p=places: clean_currency(c, "", p))
+        assert got == [f"{n:,.{places}f}" for n in numbers]
+
+
 def test_long_cells_take_linear_time(column):
     """Cells that make a backtracking pattern quadratic, or exhaust its stack."""
     n = 200_000

@@ -228,3 +228,87 @@ def test_generated_table_is_deterministic(spark):
     for name, values in VALUES.items():
         assert {r[0] for r in df.select(f"`{name}`").distinct().collect()} == set(values) | {None}
     assert dirty_table(spark.range(3000), seed=1).exceptAll(df).count() > 0
+
+
+def _csv_folder(tmp_path, **files):
+    for name, content in files.items():
+        (tmp_path / f"{name}.csv").write_text(content, encoding="utf-8")
+    return str(tmp_path)
+
+
+def test_empty_first_file_does_not_hide_the_header(spark, tmp_path):
+    path = _csv_folder(tmp_path, a="", b="id,v\n1,x\n", c="\n\nid,v\n2,y\n")
+    df = load(spark, path, "csv")
+    assert data_columns(df) == ["id", "v"]
+    assert sorted(tuple(r) for r in df.select("id", "v").collect()) == [("1", "x"), ("2", "y")]
+
+
+@pytest.mark.parametrize("other", ["v,id\nx,2\n", "id,v,w\n2,x,y\n", "id\n2\n"])
+def test_unlike_headers_raise(spark, tmp_path, other):
+    path = _csv_folder(tmp_path, a="id,v\n1,x\n", b=other)
+    with pytest.raises(ValueError, match="different headers"):
+        load(spark, path, "csv")
+
+
+def test_byte_order_marks_are_no_difference(spark, tmp_path):
+    path = _csv_folder(tmp_path, a="﻿id,v\n1,x\n", b="id,v\n2,y\n")
+    assert load(spark, path, "csv").count() == 2
+
+
+def test_line_break_in_a_cell(spark, tmp_path):
+    path = _csv_folder(tmp_path, a='id,v\n1,"x\ny"\n2,"a ""b"""\n')
+    with pytest.raises(ValueError, match="multi_line"):
+        load(spark, path, "csv")
+    rows = load(spark, path, "csv", multi_line=True).select("id", "v").collect()
+    assert [tuple(r) for r in rows] == [("1", "x\ny"), ("2", 'a "b"')]
+
+
+def test_path_with_a_blank_and_a_header_with_a_line_break(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    (folder / "c d.csv").write_text('id,"v\nw"\n1,x\n', encoding="utf-8")
+    assert data_columns(load(spark, str(folder), "csv", multi_line=True)) == ["id", "v\nw"]
+
+
+def test_parquet_files_with_different_columns(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(1, "x")], "id int, a string").write.parquet(path)
+    spark.createDataFrame([(2, "y", "z")], "id int, a string, b string").write.mode("append").parquet(path)
+    df = load(spark, path)
+    assert data_columns(df) == ["id", "a", "b"]
+    assert sorted(tuple(r) for r in df.select("id", "b").collect()) == [("1", ""), ("2", "z")]
+
+
+def test_json_with_a_given_schema(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"id": 1, "a": "x"}\nnot json\n', encoding="utf-8")
+    df = load(spark, str(tmp_path / "t.json"), schema="id string, a string")
+    assert data_columns(df) == ["id", "a"]
+    assert df.count() == 2
+
+
+def test_reserved_names_raise(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    df = spark.createDataFrame([("1", "2")], "id string, `__tl_b` string")
+    df.write.parquet(path)
+    plain = spark.createDataFrame([("1", "2")], "id string, b string")
+    with pytest.raises(ValueError, match="reserved"):
+        load(spark, path)
+    for table, columns in [
+        (df, {}),
+        (plain, {"rename": {"enabled": True, "mappings": [{"from": "b", "to": "__tl_b"}]}}),
+        (plain, {"split": {"enabled": True, "column": "b", "separator": ",", "into": ["__tl_m"]}}),
+        (plain, {"merge": {"enabled": True, "columns": ["b"], "separator": ",", "into": "__tl_m"}}),
+    ]:
+        with pytest.raises(ValueError, match="reserved"):
+            clean(table, {"columns": columns})
+
+
+def test_source_column_that_the_table_has(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    (tmp_path / "t.csv").write_text("id,source\n1,x\n", encoding="utf-8")
+    (batch,) = clean_many(spark, {path: {}})
+    with pytest.raises(ValueError, match="source_column"):
+        by_source(batch)
+    with pytest.raises(ValueError, match="source_column"):
+        write(batch.result.ordered, str(tmp_path / "out"), source_column="source")
+    assert by_source(batch, "file").columns == ["file", "id", "source"]

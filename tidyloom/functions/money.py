@@ -28,13 +28,26 @@ def _exact(number: Column) -> Column:
     return (whole.cast("decimal(19,0)") + fraction.cast("decimal(18,18)")).cast("decimal(38,18)")
 
 
+def _exact_large(number: Column) -> Column:
+    """The decimal value of a double from 2^62 to 2^125: multiples of 2^62 and the rest, both exact."""
+    high = F.floor(number / float(1 << 62))
+    low = (number - high.cast("double") * float(1 << 62)).cast("bigint")
+    unit = F.lit(str(1 << 62)).cast("decimal(19,0)")
+    return (high.cast("decimal(19,0)") * unit + low.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def clean_currency(
     c: Column,
     symbol: str = "¥",
     decimal_places: int = 2,
     thousands_separator: bool = True,
 ) -> Column:
-    """Symbol, sign, number. Ties round to even. A cell without a number is kept."""
+    """Symbol, sign, number. Ties round to even. A cell without a number is kept.
+
+    A number is the nearest double, as in the rules' definition, with all its digits up to
+    2^125 (4e37). Beyond that the digits after the seventeenth are zeros, and a number
+    beyond 1.8e308 is infinite.
+    """
     number = parse_number(c)
     layout = "#,##0" if thousands_separator else "0"
     layout += "." + "0" * decimal_places if decimal_places else ""
@@ -42,6 +55,10 @@ def clean_currency(
     def text(value: Column) -> Column:
         return F.call_function("format_number", value, F.lit(layout))
 
-    long = F.abs(number).between(float(1 << 34), float(1 << 62))
-    written = F.when(long, text(_exact(number))).otherwise(text(number))
+    size = F.abs(number)
+    written = (
+        F.when(size.between(float(1 << 34), float(1 << 62)), text(_exact(number)))
+        .when(size.between(float(1 << 62), float(1 << 125)), text(_exact_large(number)))
+        .otherwise(text(number))
+    )
     return F.coalesce(F.concat(F.lit(symbol), written), c)

@@ -19,6 +19,7 @@ BLOCK = HIDDEN + "block"
 ROW = HIDDEN + "row"
 CHUNK = HIDDEN + "chunk"
 SCOPE = HIDDEN + "scope"
+BOOKKEEPING = (FILE, BLOCK, ROW, CHUNK, SCOPE)
 
 
 def ref(name: str) -> Column:
@@ -37,6 +38,13 @@ def hidden_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith(HIDDEN)]
 
 
+def require_free(names: Iterable[str]) -> None:
+    """Raise on names that are kept for bookkeeping, instead of losing those columns later."""
+    taken = [n for n in names if n.startswith(HIDDEN)]
+    if taken:
+        raise ValueError(f"column names that start with {HIDDEN} are reserved: {taken}")
+
+
 def drop_hidden(df: DataFrame) -> DataFrame:
     return df.select(refs(data_columns(df)))
 

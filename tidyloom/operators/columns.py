@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.functions.whitespace import WHITE_SPACE, is_blank, split_ws, unless_blank
-from tidyloom.names import data_columns, hidden_columns, known, ref, refs
+from tidyloom.names import data_columns, hidden_columns, known, ref, refs, require_free
 from tidyloom.operators.cells import count_true
 
 
@@ -44,6 +44,7 @@ def split_column(
     """
     source = _strip(column)
     targets = [_strip(t) for t in into if _strip(t)]
+    require_free(targets)
     have = set(data_columns(df))
     if source not in have or not targets:
         return df, 0
@@ -76,6 +77,7 @@ def merge_columns(
     Returns the number of dropped sources. ``tally`` marks rows with a value.
     """
     target = _strip(into)
+    require_free([target])
     have = set(data_columns(df))
     sources = [c for c in columns if c in have]
     if not target or not sources:
@@ -121,6 +123,7 @@ def rename_columns(
             names[old] = new
     if not names:
         return df, 0
+    require_free(names.values())
     result = [names.get(c, c) for c in data_columns(df)]
     clashes = sorted({c for c in result if result.count(c) > 1})
     if clashes:

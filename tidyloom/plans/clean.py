@@ -21,7 +21,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.names import SCOPE, data_columns, drop_hidden, ref, refs
+from tidyloom.names import BOOKKEEPING, SCOPE, data_columns, drop_hidden, ref, refs, require_free
 from tidyloom.operators.columns import (
     drop_columns,
     merge_columns,
@@ -182,6 +182,7 @@ def _prepared(
     scope: str | None,
 ) -> DataFrame:
     """All-text table with its scope and row order as hidden columns."""
+    require_free(c for c in df.columns if c not in BOOKKEEPING)
     if scope is not None:
         others = [c for c in df.columns if c != scope]
         named = F.coalesce(ref(scope).cast("string"), F.lit(""))

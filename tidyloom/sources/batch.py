@@ -69,6 +69,8 @@ def _clean_group(
 def by_source(batch: Batch, source_column: str = "source") -> DataFrame:
     """The cleaned rows of a batch with the path of their source."""
     df = batch.result.ordered
+    if source_column in data_columns(df):
+        raise ValueError(f"the table has a column {source_column!r}: give another source_column")
     return df.select(
         ref(SCOPE).alias(source_column), *[ref(c) for c in data_columns(df)]
     )

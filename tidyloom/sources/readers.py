@@ -3,16 +3,23 @@
 CSV is read without type inference, so ``007`` and ``1.50`` stay as they are. Short
 rows are padded with ``''`` and long rows cut at the width of the header. Lines
 without any character are skipped by the CSV source; ``,,,`` is a row.
+
+A CSV scan applies one header by position to every file and ends a record at each line
+break, so files with other headers and cells with line breaks would give wrong rows
+without an error. ``load`` looks for both in one pass over the lines and raises.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidyloom.names import HIDDEN
+from tidyloom.names import require_free
 from tidyloom.operators.order import attach_file_order
 from tidyloom.sources.headers import normalize_headers
 from tidyloom.sources.text_table import to_text_table
@@ -51,23 +58,31 @@ def load(
     *,
     multi_line: bool = False,
     header_style: str = "native",
+    validate: bool = True,
+    schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """A text table from one source. Files carry their row order; tables need ``order_by``.
 
-    Several paths of one format are one table.
+    Several paths of one format are one table. CSV files must have one header, in one order;
+    parquet files may have different columns, which are matched by name. ``validate=False``
+    saves the pass over the lines of CSV files that are known to be sound. ``schema`` gives
+    the columns of JSON, which are otherwise inferred from the whole input.
     """
     paths = [path] if isinstance(path, str) else list(path)
     fmt = fmt.lower() if fmt else format_of(paths[0])
     if fmt == "csv":
-        return _read_csv(spark, paths, multi_line, header_style)
+        return _read_csv(spark, paths, multi_line, header_style, validate)
     if fmt == "parquet":
-        return to_text_table(attach_file_order(spark.read.parquet(*paths)))
-    if fmt == "json":
+        scan = spark.read.option("mergeSchema", True).parquet(*paths)
+    elif fmt == "json":
         reader = spark.read.option("primitivesAsString", True).option("multiLine", multi_line)
-        return to_text_table(attach_file_order(reader.json(paths)))
-    if fmt == "table":
-        return to_text_table(spark.table(paths[0]))
-    raise ValueError(f"unsupported format: {fmt}")
+        scan = (reader.schema(schema) if schema is not None else reader).json(paths)
+    elif fmt == "table":
+        scan = spark.table(paths[0])
+    else:
+        raise ValueError(f"unsupported format: {fmt}")
+    require_free(scan.columns)
+    return to_text_table(scan if fmt == "table" else attach_file_order(scan))
 
 
 def layout_of(spark: SparkSession, path: str, fmt: str, multi_line: bool = False) -> str:
@@ -81,23 +96,66 @@ def layout_of(spark: SparkSession, path: str, fmt: str, multi_line: bool = False
 
 
 def csv_header(spark: SparkSession, path: str, multi_line: bool = False) -> list[str | None]:
-    """The raw cells of the first line of a file, or of the first file of a folder."""
-    reader = spark.read.options(**_CSV_OPTIONS).option("multiLine", multi_line)
-    files = sorted(spark.read.text(path).inputFiles())
-    if not files:
+    """The raw cells of the first line of a file, or of the first file of a folder that has one."""
+    lines = _lines(spark, [path]).where("block = 0 and value <> ''").orderBy("file", "number")
+    return _cells(spark, lines.select("value", "file").head(), multi_line)
+
+
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    number = F.monotonically_increasing_id().alias("number")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start")]
+    return spark.read.text(list(paths)).select("value", place[0], place[1].alias("block"), number)
+
+
+def _cells(spark: SparkSession, first: tuple | None, multi_line: bool) -> list[str | None]:
+    """The cells of a header from its line and file."""
+    if not first:
         return []
-    first = reader.option("header", False).csv(files[0]).head(1)
-    cells = list(first[0]) if first else []
+    line, file = first
+    if line.count('"') % 2 and multi_line:  # a name with a line break
+        reader = spark.read.options(**_CSV_OPTIONS).option("multiLine", True)
+        cells = list(reader.option("header", False).csv(unquote(file)).head())
+    else:
+        cells = [c or None for c in next(csv.reader([line]))]
     return [c.removeprefix("\ufeff") if c else c for c in cells]
 
 
+def _inspect(spark: SparkSession, paths: Sequence[str], multi_line: bool) -> tuple | None:
+    """The first header with its file, after a pass over all lines that raises on unsound files.
+
+    Two reductions, by file and of the files' rows, so one row comes to the driver.
+    """
+    first = F.expr("min_by(value, number) filter (where block = 0 and value <> '')")
+    # Quotes come in pairs within a record, so an odd line is part of a longer one.
+    odd = F.count_if(F.length("value") % 2 != F.length(F.replace("value", F.lit('"'))) % 2)
+    files = _lines(spark, paths).groupBy("file").agg(
+        F.regexp_replace(first, "^\ufeff", "").alias("header"), odd.alias("odd")
+    )
+    files = files.where("header is not null")
+    low, high, broken = files.agg(
+        F.min(F.struct("header", "file")),
+        F.max(F.struct("header", "file")),
+        F.min(F.when(F.col("odd") > 0, F.col("file"))),
+    ).first()
+    if low and low["header"] != high["header"]:
+        raise ValueError(
+            f"files with different headers in one table: {low['file']} has {low['header']!r}, "
+            f"{high['file']} has {high['header']!r}"
+        )
+    if broken and not multi_line:
+        raise ValueError(f"a quoted cell goes on in the next line in {broken}: use multi_line=True")
+    return low
+
+
 def _read_csv(
-    spark: SparkSession, paths: Sequence[str], multi_line: bool, header_style: str
+    spark: SparkSession, paths: Sequence[str], multi_line: bool, header_style: str, validate: bool
 ) -> DataFrame:
-    names = normalize_headers(csv_header(spark, paths[0], multi_line), header_style)
-    reserved = [n for n in names if n.startswith(HIDDEN)]
-    if reserved:
-        raise ValueError(f"headers that start with {HIDDEN} are reserved: {reserved}")
+    if validate:
+        cells = _cells(spark, _inspect(spark, paths, multi_line), multi_line)
+    else:
+        cells = next((h for p in paths if (h := csv_header(spark, p, multi_line))), [])
+    names = normalize_headers(cells, header_style)
+    require_free(names)
     folded = {n.lower() for n in names}
     if len(folded) < len(names) and spark.conf.get("spark.sql.caseSensitive") != "true":
         raise ValueError("headers differ only in case: set spark.sql.caseSensitive=true")

@@ -44,6 +44,8 @@ def write(
     if keep_order and is_ordered(df):
         df = in_order(df)
     text = [F.coalesce(ref(c), F.lit("")).alias(c) for c in data_columns(df)]
+    if source_column is not None and source_column in data_columns(df):
+        raise ValueError(f"the table has a column {source_column!r}: give another source_column")
     if source_column is not None and scope_of(df):
         writer = df.select(*text, ref(SCOPE).alias(source_column)).write
         writer = writer.partitionBy(source_column)
