@@ -126,6 +126,19 @@ ORDERS = View(
     },
 )
 
+# Digits up to 10^36, of either sign.
+LARGE = View(
+    "orders",
+    "o_orderkey",
+    {
+        "id": "o_orderkey",
+        "price": (
+            "case when o_orderkey % 3 = 0 then '-' else '' end || replace(cast(o_totalprice as string), '.', '')"
+            " || repeat('7', cast(o_orderkey % 26 as int)) || case when o_orderkey % 2 = 0 then '.25' else '' end"
+        ),
+    },
+)
+
 EVENTS = View(
     "events",
     "event_id",

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from tidyloom.functions.whitespace import WHITE_SPACE, WHITE_SPACE_RANGES
-from workload.fixtures import CUSTOMER, DOCUMENTS, EVENTS, LINEITEM, ORDERS, View
+from workload.fixtures import CUSTOMER, DOCUMENTS, EVENTS, LARGE, LINEITEM, ORDERS, View
 
 
-_WS_BODY = "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in WHITE_SPACE_RANGES)
+# The code points with the Unicode property White_Space.
+_WS_BODY = (
+    r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WS = f"[{_WS_BODY}]"
 
 
@@ -42,55 +48,36 @@ def _phone(x: str, code: str = "", e164: bool = False) -> str:
     return f"('+{code}' || {digits})" if e164 else digits
 
 
-_NORM = "odate"
-for _mark, _to in (("年", "-"), ("月", "-"), ("日", " "), ("时", ":"), ("分", ":"), ("秒", ""), ("：", ":")):
-    _NORM = f"replace({_NORM}, '{_mark}', '{_to}')"
-_NORM = f"regexp_replace({_NORM}, '{WS}*:{WS}*', ':', 'g')"
-_NORM = f"regexp_replace({_NORM}, '{WS}*-{WS}*', '-', 'g')"
-_NORM = _trim(f"regexp_replace({_NORM}, '{WS}+', ' ', 'g')")
-_NORM = f"regexp_replace({_NORM}, ':$', '')"
-
-_FULL = (
-    r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})[ T](\d{1,2}):(\d{1,2})(?::(\d{1,2}))?"
-    r"(?:\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?$"
+# A date by its form: every run of digits is a `#`, white space is gone. What the runs mean
+# follows from their number and lengths; the calendar decides the rest.
+_FORM = f"regexp_replace(regexp_replace(odate, '[0-9]+', '#', 'g'), '{WS}+', '', 'g')"
+_KNOWN_FORM = (
+    "^(#|#[-/.]#[-/.]#|(#[-/.]#[-/.]#T?|#年#月#日)?(#[:：]#([:：]#)?|#时#分(#秒)?)?([.]#)?(Z|[+-]#:?#?)?|#年#月#日)$"
 )
-_YMD = r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_DMY = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$"
-
-
-def _group(pattern: str, k: int) -> str:
-    return f"regexp_extract(n, '{pattern}', {k})"
-
-
-def _stamp(pattern: str, y: int, m: int, d: int, clock: str = "'0:0:0'") -> str:
-    day = " || '-' || ".join(_group(pattern, k) for k in (y, m, d))
-    return (
-        f"try_strptime(CASE WHEN regexp_matches(n, '{pattern}') THEN {day} || ' ' || {clock} END,"
-        " '%Y-%m-%d %H:%M:%S')"
-    )
 
 
-_CLOCK = (
-    f"{_group(_FULL, 4)} || ':' || {_group(_FULL, 5)} || ':' || "
-    f"CASE WHEN {_group(_FULL, 6)} = '' THEN '0' ELSE {_group(_FULL, 6)} END"
-)
-_PARSED = (
-    f"coalesce({_stamp(_FULL, 1, 2, 3, _CLOCK)}, {_stamp(_YMD, 1, 2, 3)},"
-    f" {_stamp(_COMPACT, 1, 2, 3)}, {_stamp(_DMY, 3, 2, 1)})"
-)
-_OFFSET = (
-    f"CASE WHEN {_group(_FULL, 7)} LIKE '+%' THEN 1 WHEN {_group(_FULL, 7)} LIKE '-%' THEN -1"
-    f" ELSE 0 END * coalesce(try_cast(substr({_group(_FULL, 7)}, 2, 2) AS INTEGER), 0)"
-)
+def _dated(source: str) -> str:
+    """Table expressions up to ``p``: the rows of ``source`` with ``moment``, their ``odate`` as a timestamp."""
+    return f"""
+r AS (SELECT *, regexp_extract_all(odate, '[0-9]+') AS g, {_FORM} AS form FROM {source}),
+y AS (SELECT *, CASE WHEN NOT regexp_matches(form, '{_KNOWN_FORM}') THEN NULL
+                     WHEN len(g) = 1 AND length(g[1]) = 8
+                       THEN [substr(g[1], 1, 4), substr(g[1], 5, 2), substr(g[1], 7, 2)]
+                     WHEN len(g) >= 3 AND length(g[1]) = 4 THEN [g[1], g[2], g[3]]
+                     WHEN len(g) = 3 AND length(g[3]) = 4 THEN [g[3], g[2], g[1]] END AS day
+      FROM r),
+p AS (SELECT * EXCLUDE (g, form, day), g[-2] AS hours, form LIKE '%+%' AS zoned, try_strptime(
+        array_to_string(day, '-') || ' ' || coalesce(g[4], '0') || ':' || coalesce(g[5], '0') || ':'
+          || CASE WHEN form LIKE '%#:#:#%' OR form LIKE '%：#:#%' OR form LIKE '%秒%' THEN g[6] ELSE '0' END,
+        '%Y-%m-%d %H:%M:%S') AS moment FROM y)"""
 
 
 def _date(fmt: str, on_invalid: str = "keep", utc: bool = False) -> str:
-    when = f"{_PARSED} - to_hours(CAST({_OFFSET} AS INTEGER))" if utc else _PARSED
-    other = "raw" if on_invalid == "keep" else f"CASE WHEN {_blank('raw')} THEN raw ELSE '' END"
+    shift = "CASE WHEN zoned THEN CAST(hours AS INTEGER) ELSE 0 END" if utc else "0"
+    other = "odate" if on_invalid == "keep" else f"CASE WHEN {_blank('odate')} THEN odate ELSE '' END"
     return (
-        f"WITH t AS ({ORDERS.sql}), n AS (SELECT id, odate AS raw, {_NORM} AS n FROM t)"
-        f" SELECT id, coalesce(strftime({when}, '{fmt}'), {other}) AS odate FROM n"
+        f"WITH t AS ({ORDERS.sql}), {_dated('t')}"
+        f" SELECT id, coalesce(strftime(moment - to_hours({shift}), '{fmt}'), {other}) AS odate FROM p"
     )
 
 
@@ -215,13 +202,13 @@ x AS (SELECT {', '.join(f"{_trim(c)} AS {c}" for c in
       ('id', 'customer', 'odate', 'price', 'priority', 'status', 'grade', 'bucket', 'owner'))}, rk
       FROM m),
 d AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY customer, grade ORDER BY rk) = 1),
-n AS (SELECT *, {_NORM} AS n FROM d),
+{_dated('d')},
 f AS (SELECT id, customer, grade, bucket, owner, rk, status,
-             coalesce(strftime({_PARSED}, '%Y/%m/%d'),
+             coalesce(strftime(moment, '%Y/%m/%d'),
                       CASE WHEN {_blank('odate')} THEN odate ELSE '' END) AS odate,
              CASE WHEN {_blank(_money('price', 1, True, '$'))} THEN '-'
                   ELSE {_money('price', 1, True, '$')} END AS price, priority,
-             row_number() OVER (ORDER BY rk) AS rn FROM n),
+             row_number() OVER (ORDER BY rk) AS rn FROM p),
 g AS (SELECT *, last_value(CASE WHEN NOT {_blank('priority')} THEN priority END IGNORE NULLS)
                   OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS pv,
                 last_value(CASE WHEN NOT {_blank('priority')} THEN rn END IGNORE NULLS)
@@ -233,6 +220,7 @@ FROM g WHERE NOT {_blank('odate')}"""
 
 
 def _generated() -> str:
+    # The value lists and rates are the generator's parameters; how they are dealt is restated here.
     from tidyloom.sources.generator import DUPLICATE_EVERY, EMPTY_EVERY, VALUES
 
     def mixed(salt: int) -> str:
@@ -395,6 +383,17 @@ def oracle_sql() -> dict[str, str]:
             " SELECT format('{:.1f}', (before - (mid - gone)) / before * 100) AS shrink_rate,"
             " false AS nothing_matched FROM c"
         ),
+        "stats_dates": f"WITH t AS ({ORDERS.sql}), {_dated('t')}"
+        f" SELECT {_changed('odate', "coalesce(strftime(moment, '%Y/%m/%d'), odate)")} AS formattedDateCells FROM p",
+        "nothing_matched": f"WITH t AS ({CUSTOMER.sql})"
+        f" SELECT count(*) FILTER (WHERE nation <> {_trim('nation')}) = 0 AS nothing_matched FROM t",
+        "currency_large": _over(LARGE, {"price": _money("price")}),
+        "csv_round_trip": _over(CUSTOMER, all_text),
+        "dedup_csv_row_first": f"WITH t AS ({EVENTS.sql}) SELECT DISTINCT {', '.join(event_row)} FROM t",
+        "dedup_row_normalized": _dedup(
+            EVENTS, [f"lower({_trim(c)})" for c in event_row], "first", event_row
+        ),
+        "dedup_stage_last": _dedup(EVENTS, event_keys, "first", ["id", *event_row], f"WHERE NOT {_blank('reading')}"),
         "clean_full": _full(),
         "clean_many": _many(),
         "generated_dirty_table": _generated(),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
@@ -9,15 +10,17 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.names import drop_hidden
+from tidyloom.names import drop_hidden, refs
 from tidyloom.operators.order import attach_key_order
 from tidyloom.plans.clean import CleanResult, clean
 from tidyloom.plans.preview import clip, preview
 from tidyloom.plans.stats import nothing_matched, shrink_rate
 from tidyloom.sources.batch import by_source, clean_many
 from tidyloom.sources.generator import dirty_table
+from tidyloom.session import checkpoint_dir
 from tidyloom.sources.readers import load
-from workload.fixtures import CUSTOMER, DOCUMENTS, EVENTS, LINEITEM, ORDERS, View
+from tidyloom.sources.writers import write
+from workload.fixtures import CUSTOMER, DOCUMENTS, EVENTS, LARGE, LINEITEM, ORDERS, View
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -181,6 +184,30 @@ FULL_RULES = {
 }
 
 
+def _through_csv(view: View, columns: list[str], rules: dict[str, Any]) -> Query:
+    """Write columns of a view as CSV in the shared folder, load the files and clean them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4()}"
+        write(clean(view.frame(spark, sf_dir).select(refs(columns)), {}).df, path, "csv")
+        return clean(load(spark, path, "csv"), rules).df
+
+    return run
+
+
+def _dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates after the removal of empty rows."""
+    rules = _missing(removeEmptyRows={"condition": "any", "columnsMode": "custom", "columns": ["reading"]})
+    rules |= {"dedup": _on({"mode": "byColumns", "columns": ["kind", "user"], "keep": "first"})}
+    df = attach_key_order(EVENTS.frame(spark, sf_dir), "rk", chunked=False)
+    return clean(df.drop("rk"), rules, dedup_stage="last").df
+
+
+def _nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = _format(text={"trim": True, "columnsMode": "selected", "columns": ["nation"]})
+    return cleaned(CUSTOMER, rules)(spark, sf_dir).stats.select(nothing_matched().alias("nothing_matched"))
+
+
 def _to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_hidden(load(spark, f"{sf_dir}/customer.parquet"))
 
@@ -460,6 +487,21 @@ def queries() -> dict[str, Query]:
             ],
         ),
         "shrink_rate": _shrink,
+        "stats_dates": _stats(
+            ORDERS, _format(date={"columns": ["odate"], "outputFormat": "YYYY/MM/DD"}), ["formattedDateCells"]
+        ),
+        "nothing_matched": _nothing,
+        "currency_large": _query(LARGE, _format(currency={"columns": ["price"]})),
+        "csv_round_trip": _through_csv(CUSTOMER, list(CUSTOMER.columns), _trim_all()),
+        "dedup_csv_row_first": _through_csv(
+            EVENTS, [c for c in EVENTS.columns if c != "id"], {"dedup": _on({"mode": "wholeRow"})}
+        ),
+        "dedup_row_normalized": _query(
+            EVENTS,
+            _columns(drop={"columns": ["id"]}) | {"dedup": _on({"mode": "wholeRow", "normalizeText": True})},
+            ordered=True,
+        ),
+        "dedup_stage_last": _dedup_last,
         "clean_full": _query(ORDERS, FULL_RULES, ordered=True),
         "clean_many": _many,
         "generated_dirty_table": _generated,
