@@ -1,7 +1,7 @@
 import duckdb
 
 import corpus_pipeline
-from tests.llm.helpers import contamination_rows, secret_spans, simhash_rows
+from tests.llm.helpers import contamination_rows, rows_of, secret_spans, simhash_rows, sort_rows
 from tidyloom.llm import queries
 from tidyloom.llm.oracles import oracle_sql
 
@@ -35,11 +35,12 @@ def test_no_language_is_rejected(spark):
 
 def test_oracles_run(spark):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     for name, sql in oracle_sql().items():
         got = queries.queries()[name](spark, SF)
         want = con.sql(sql)
         assert sorted(got.columns) == sorted(want.columns)
         order = ", ".join(sorted(want.columns))
-        assert sorted(map(tuple, got.select(*sorted(got.columns)).collect())) == sorted(map(tuple, con.sql(f"select {order} from ({sql})").fetchall()))
+        want = con.sql(f"select {order} from ({sql})").fetchall()
+        assert rows_of(got, *sorted(got.columns)) == sort_rows(want)

@@ -2,7 +2,35 @@
 
 from __future__ import annotations
 
-_WORDS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Base 32 of a SHA-1 in hexadecimal: four letters for each five digits.
+_DIGITS = [f"cast('0x' || substr(x, {5 * k + 1}, 5) as integer)" for k in range(8)]
+_LETTERS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({d} // {32**n}) % 32 + 1, 1)" for d in _DIGITS for n in (3, 2, 1, 0)
+)
+
+OP2 = f"""
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x from pages),
+f as (select h, min(page_id) as first from p group by h)
+select page_id, cast(octet_length(encode(p.h)) as bigint) as payload_bytes, {_LETTERS} as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from p join f on p.h = f.h
+"""
+
+#: The given tables hold whole vectors only.
+OP9 = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+      where list_cosine_similarity(a.e, b.e) >= 0.93),
+r as (select vec_id as v, vec_id as c from v union select r.v, l.b from r join l on r.c = l.a),
+c as (select v, min(c) as component_id from r group by v),
+n as (select a, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from v join c on vec_id = c.v left join n on vec_id = n.a
+"""
 
 #: Windows of ten words, or of all of a shorter item, are looked up in the documents' windows of that length.
 OP7 = rf"""
@@ -28,4 +56,4 @@ from d left join hit on d.doc_id = hit.doc_id left join its on d.doc_id = its.do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_contamination": OP7}
+    return {"op2_warc": OP2, "op7_contamination": OP7, "op9_embedding_dedup": OP9}
