@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import (
@@ -17,11 +18,14 @@ from tests.llm.helpers import (
     simhash_rows,
     sort_rows,
 )
+from tidyloom.llm import components as graph
 from tidyloom.llm import contamination, embedding_dedup, simhash
 from tidyloom.llm.components import connected_components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("links_a_task", [1 << 20, 40])
+def test_components(spark, monkeypatch, links_a_task):
+    monkeypatch.setattr(graph, "LINKS_A_TASK", links_a_task)
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
     links += [(500, i) for i in range(501, 560)]

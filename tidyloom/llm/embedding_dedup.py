@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.llm.common import column, join_hot, map_pandas
-from tidyloom.llm.components import smallest_members
+from tidyloom.llm.components import local_roots, smallest_members
 from tidyloom.session import cut
 
 THRESHOLD, TILE = 0.93, 1024
@@ -93,20 +93,6 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray | None, threshol
     return i[cosine >= threshold], j[cosine >= threshold]
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row number that each of ``n`` rows reaches over the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_duplicates(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -126,8 +112,8 @@ def near_duplicates(
     pairs = cut(_compare(classes, threshold))
     links = pairs.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     counts = pairs.groupBy("node").agg(F.sum("links").alias("links"))
-    members = smallest_members(classes.select("node", "id"), links)
-    found = cut(classes.join(members, "node").join(counts, "node", "left"))
+    members = smallest_members(classes, links)
+    found = cut(members.join(counts, "node", "left"))
     n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     linked = join_hot(good, found, ["label", "embedding"], "copies").select("vec_id", n_links, "component_id")
     return linked.unionByName(lone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -192,6 +178,6 @@ def _compare(classes: DataFrame, threshold: float) -> DataFrame:
         copies, node = group["copies"].to_numpy(), group["node"].to_numpy()
         links = np.bincount(i, copies[j], len(group)) + np.bincount(j, copies[i], len(group))
         has = links > 0
-        return pd.DataFrame({"node": node[has], "links": links[has].astype(np.int64), "root": node[_roots(len(group), i, j)][has]})
+        return pd.DataFrame({"node": node[has], "links": links[has].astype(np.int64), "root": node[local_roots(len(group), i, j)][has]})
 
     return meetings.groupBy("label", "size", "at", "p", "q").applyInPandas(meet, "node bigint, links bigint, root bigint")

@@ -122,8 +122,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = cut(fingerprints(df, id_col, text_col))
     nodes = cut(rows.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
     links = close_pairs(nodes.select(F.col("node").alias("fp")))
-    members = cut(smallest_members(nodes.select("node", "id"), links).join(nodes.select("node", "copies"), "node"))
-    members = members.withColumnRenamed("node", "fp")
+    members = cut(smallest_members(nodes, links).withColumnRenamed("node", "fp"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return join_hot(rows, members, "fp", "copies").select("doc_id", text, "component_id")
 
