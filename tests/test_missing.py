@@ -1,6 +1,6 @@
 import pytest
 
-from tidyloom.operators.missing import fill_default, remove_empty_rows
+from tidyloom.operators.missing import drop_rows, empty_row, fill_default
 
 
 def rows(df, *columns):
@@ -51,4 +51,4 @@ ROWS = [("x", "y"), ("", "y"), (" ", None), ("　", "")]
 )
 def test_remove_empty_rows(text, options, kept):
     table = text(["a", "b"], ROWS).selectExpr("cast(k as string) k", "a", "b")
-    assert rows(remove_empty_rows(table, **options), "k") == [(str(i),) for i in kept]
+    assert rows(drop_rows(table, empty_row(table, **options)), "k") == [(str(i),) for i in kept]

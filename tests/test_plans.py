@@ -49,10 +49,19 @@ def test_duplicates_take_one_shuffle_after_a_map_side_reduction(spark, plan, nam
     assert "Window" not in text and "Join" not in text
 
 
-@pytest.mark.parametrize("name", ["ffill", "bfill", "fill_both", "fill_directions"])
-def test_fill_shuffles_the_table_once_and_by_chunk(spark, plan, name):
+@pytest.mark.parametrize(
+    "name, tables", [("ffill", 1), ("bfill", 1), ("fill_both", 1), ("ffill_limit", 2), ("fill_both_limit", 2)]
+)
+def test_how_often_a_fill_shuffles_the_table(spark, plan, name, tables):
+    """Once for the windows; a limit counts rows in a second branch. The rest are summaries of chunks."""
     text = plan(queries()[name](spark, SF))
-    assert "ReusedExchange" in text
+    lines = text.split("\n")
+    full = 0
+    for i, line in enumerate(lines):
+        if re.search(r"(?<!Reused)Exchange hashpartitioning", line):
+            full += "Project" in lines[i + 1] and not re.search("__tl_(in|out|start|group)", lines[i + 1])
+    assert full == tables
+    assert text.count("FileScan") == 2
     # Only the top level of the summaries, one row per thousand chunks, is gathered.
     single = [part for part in text.split("\n") if "SinglePartition" in part]
     assert 1 <= len(single) <= 2

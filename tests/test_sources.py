@@ -10,7 +10,7 @@ from tidyloom.plans.preview import preview
 from tidyloom.sources.batch import by_source, clean_many, sources_in
 from tidyloom.sources.generator import VALUES, dirty_table
 from tidyloom.sources.headers import normalize_headers
-from tidyloom.sources.readers import format_of, load
+from tidyloom.sources.readers import csv_headers, format_of, load
 from tidyloom.sources.text_table import to_text_table
 from tidyloom.sources.writers import cleaned_name, write
 
@@ -312,3 +312,42 @@ def test_source_column_that_the_table_has(spark, tmp_path):
     with pytest.raises(ValueError, match="source_column"):
         write(batch.result.ordered, str(tmp_path / "out"), source_column="source")
     assert by_source(batch, "file").columns == ["file", "id", "source"]
+
+
+def test_headers_of_many_files_take_one_job(spark, tmp_path):
+    paths = {}
+    for i in range(12):
+        path = tmp_path / f"part {i}.csv"
+        path.write_text("a,b\n 1,2\n" if i % 2 else "b,a,c\n1,2,3\n", encoding="utf-8")
+        paths[str(path)] = {"format": {"text": on(trim=True)}}
+    (tmp_path / "none.csv").write_text("", encoding="utf-8")
+    paths[str(tmp_path / "none.csv")] = {}
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    headers = csv_headers(spark, list(paths))
+    assert len(tracker.getJobIdsForGroup(None)) - before <= 2
+    assert [len(h) for h in headers.values()] == [3, 2] * 6 + [0]
+    batches = clean_many(spark, paths)
+    assert sorted(len(b.sources) for b in batches) == [1, 6, 6]
+    rows = [r for b in batches for r in by_source(b).collect()]
+    assert len(rows) == 12 and {r["a"] for r in rows} == {"1", "2"}
+
+
+def test_cut_tables_can_be_released(spark):
+    from tidyloom.session import cut, fit_shuffles, release_cuts
+
+    release_cuts(spark)
+    table = cut(spark.range(5))
+    path = table.inputFiles()[0]
+    assert release_cuts(spark) == 1 and release_cuts(spark) == 0
+    assert not __import__("os").path.exists(path.removeprefix("file://"))
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    assert fit_shuffles(spark, "/root/testdata/sf0.001", 1 << 10) > 50
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
+def test_null_in_the_order_raises(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "")], "k bigint, v string")
+    rules = {"missing": {"fillForwardBackward": on(columns=["v"])}}
+    with pytest.raises(ValueError, match="null"):
+        clean(df, rules, order_by="k")

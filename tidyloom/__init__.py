@@ -5,7 +5,7 @@ from tidyloom.plans.files import export_file, preview_file
 from tidyloom.plans.preview import clip, preview, preview_document
 from tidyloom.plans.stats import nothing_matched, shrink_rate
 from tidyloom.rules import CleaningRules, default_document
-from tidyloom.session import build_session
+from tidyloom.session import build_session, fit_shuffles, release_cuts
 from tidyloom.sources.batch import Batch, by_source, clean_many, sources_in
 from tidyloom.sources.generator import dirty_table
 from tidyloom.sources.readers import load
@@ -24,11 +24,13 @@ __all__ = [
     "default_document",
     "dirty_table",
     "export_file",
+    "fit_shuffles",
     "load",
     "nothing_matched",
     "preview",
     "preview_document",
     "preview_file",
+    "release_cuts",
     "shrink_rate",
     "sources_in",
     "write",

@@ -49,16 +49,6 @@ def empty_row(
     return fold(and_ if condition == "all" else or_, blanks)
 
 
-def remove_empty_rows(
-    df: DataFrame,
-    condition: str = "all",
-    columns_mode: str = "all",
-    columns: Sequence[str] = (),
-    trim: bool = True,
-) -> DataFrame:
-    return drop_rows(df, empty_row(df, condition, columns_mode, columns, trim))
-
-
 def drop_rows(df: DataFrame, unwanted: Column) -> DataFrame:
     """Remove rows by a test of cells that were computed at some cost.
 

@@ -98,7 +98,11 @@ def _even_width(df: DataFrame, key: str, chunk_rows: int) -> int | None:
     stretches could put most rows in one range.
     """
     number = ref(key).cast("bigint")
-    low, high, rows = df.agg(F.min(number), F.max(number), F.count("*")).first()
+    low, high, rows, nulls = df.agg(
+        F.min(number), F.max(number), F.count("*"), F.count_if(number.isNull())
+    ).first()
+    if nulls:
+        raise ValueError(f"order_by {key!r} is null in {nulls} rows: it must be a unique key")
     if not rows:
         return 1
     parallel = df.sparkSession.sparkContext.defaultParallelism

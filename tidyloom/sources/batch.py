@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidyloom.names import FILE, SCOPE, data_columns, ref
 from tidyloom.plans.clean import CleanResult, clean
 from tidyloom.rules import CleaningRules
-from tidyloom.sources.readers import format_of, is_known, layout_of, load
+from tidyloom.sources.readers import format_of, is_known, layouts_of, load
 
 
 def sources_in(spark: SparkSession, folder: str) -> list[str]:
@@ -44,10 +44,11 @@ def clean_many(
     """Clean each source by its rules. A source is a file; each path counts once."""
     groups: dict[tuple, list[str]] = {}
     rules_of = {}
+    formats = {path: fmt or format_of(path) for path in rules_by_source}
+    layouts = layouts_of(spark, formats, multi_line)
     for i, (path, document) in enumerate(rules_by_source.items()):
         rules = CleaningRules.parse(document)
-        source_format = fmt or format_of(path)
-        layout = layout_of(spark, path, source_format, multi_line)
+        source_format, layout = formats[path], layouts[path]
         alone = i if rules.columns.remove_empty_cols.enabled else None
         text = json.dumps(rules.to_document(), sort_keys=True)
         key = (text, layout, source_format, alone)

@@ -12,8 +12,8 @@ without an error. ``load`` looks for both in one pass over the lines and raises.
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
-from urllib.parse import unquote
+from collections.abc import Mapping, Sequence
+from urllib.parse import quote, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,14 +85,21 @@ def load(
     return to_text_table(scan if fmt == "table" else attach_file_order(scan))
 
 
-def layout_of(spark: SparkSession, path: str, fmt: str, multi_line: bool = False) -> str:
-    """Names (and types, where the format has them) of the columns of a source.
+def layouts_of(
+    spark: SparkSession, formats: Mapping[str, str], multi_line: bool = False
+) -> dict[str, str]:
+    """Names (and types, where the format has them) of the columns of sources, given by format.
 
-    Sources of one layout can be read together.
+    Sources of one layout can be read together. All CSV files are looked at by one job.
     """
-    if fmt == "csv":
-        return repr(normalize_headers(csv_header(spark, path, multi_line)))
-    return spark.read.option("multiLine", multi_line).format(fmt).load(path).schema.json()
+    headers = csv_headers(spark, [p for p, f in formats.items() if f == "csv"], multi_line)
+    reader = spark.read.option("multiLine", multi_line)
+    return {
+        path: repr(normalize_headers(headers[path]))
+        if fmt == "csv"
+        else reader.format(fmt).load(path).schema.json()
+        for path, fmt in formats.items()
+    }
 
 
 def csv_header(spark: SparkSession, path: str, multi_line: bool = False) -> list[str | None]:
@@ -101,6 +108,19 @@ def csv_header(spark: SparkSession, path: str, multi_line: bool = False) -> list
     return _cells(spark, lines.select("value", "file").head(), multi_line)
 
 
+def csv_headers(
+    spark: SparkSession, paths: Sequence[str], multi_line: bool = False
+) -> dict[str, list[str | None]]:
+    """The header of each of many files, by one job; a file without lines has none."""
+    if not paths:
+        return {}
+    first = F.expr("min_by(value, number)").alias("value")
+    lines = _lines(spark, paths).where("block = 0 and value <> ''").groupBy("file").agg(first)
+    found = {urlsplit(r["file"]).path: r for r in lines.select("value", "file").collect()}
+    by_path = {p: found.get(quote(urlsplit(p).path if "://" in p else p.removeprefix("file:"))) for p in paths}
+    return {p: _cells(spark, r, multi_line) for p, r in by_path.items()}
+
+
 def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     number = F.monotonically_increasing_id().alias("number")
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start")]
