@@ -22,8 +22,8 @@ from tidyloom.llm.common import column, fold, map_pandas, narrow, stratified
 CHUNK, OVERLAP = 384, 64
 WIDTH, FILTERS, HIDDEN = 5, 16, 12
 #: Bounds of the training sample: documents of a label, and chunks of a document, spread over all of it.
-PER_LABEL, SAMPLE_CHUNKS = 500, 6
-STEPS, BATCH, RATE = 260, 48, 0.02
+PER_LABEL, SAMPLE_CHUNKS = 1500, 6
+STEPS, BATCH, RATE = 500, 48, 0.02
 THRESHOLD = 0.3
 #: Chunks convolved at once.
 ROWS = 32
@@ -141,7 +141,7 @@ def score_texts(model: Weights | None, texts: Sequence[str | None], prior: float
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Weights | None:
     """Learn from about ``PER_LABEL`` documents of each label, ``SAMPLE_CHUNKS`` chunks of each.
 
-    The executors cut the chunks, so the driver gets about two megabytes whatever the texts' lengths.
+    The executors cut the chunks, so the driver gets about seven megabytes whatever the texts' lengths.
     Rows without a text count as empty texts, rows without a label are left out; None if there are
     not both labels.
     """

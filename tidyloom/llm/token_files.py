@@ -194,15 +194,20 @@ class Block:
         return np.array(out[skip : skip + max(0, stop - start)], np.uint32)
 
 
-def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def write_tokens(
+    df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int | None = None
+) -> DataFrame:
     """Tokenize all texts and write files in ascending order of the identifiers: ``(shard, path, ids, bytes)``.
 
+    A file gets about ``shard_bytes`` of text. Larger files save tasks and take no more memory, which
+    holds one block of ids.
+
     ``shard`` numbers the files in that order. Tasks name their files anew and report them at their end,
     so files of lost or repeated tasks are on no list.
     """
     rows = narrow(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_BYTES))
+    shards = max(1, -(-int(total) // (shard_bytes or SHARD_BYTES)))
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     folder = new_folder(df.sparkSession, "tokens")
 
