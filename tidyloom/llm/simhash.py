@@ -41,18 +41,20 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 def fingerprint(text: str | None) -> int:
     """64 bits as a signed number; zero for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    keep = ~blank
+    keep[:-1] |= blank[:-1] & ~blank[1:]  # one blank before each word
+    joined = np.where(blank, np.uint8(32), raw)[keep].tobytes().lstrip(b" ")
+    if not joined:
         return 0
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    n = max(1, len(words) - WORDS + 1)
-    starts, ends = starts[:n].tolist(), ends[min(WORDS, len(words)) - 1 :].tolist()
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts, ends = np.append(0, spaces + 1), np.append(spaces, len(joined))
+    n = max(1, len(starts) - WORDS + 1)
+    ends = ends[min(WORDS, len(starts)) - 1 :]
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for s in range(0, n, SLICE):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[s : s + SLICE], ends[s : s + SLICE], strict=True)], "<u8")
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[s : min(n, s + SLICE)].tolist(), ends[s : s + SLICE].tolist(), strict=True)], "<u8")
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint32)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
