@@ -45,6 +45,8 @@ HEADLINE = [
     "stats_rows",
     "clean_full",
     "clean_many",
+    "csv_round_trip",
+    "dedup_csv_row_first",
 ]
 
 
