@@ -79,34 +79,36 @@ def phrase_hits(index: Index, item_rows: DataFrame, window: int = WINDOW) -> Dat
     """``(row, item, item_id, pos)``: every word of a document inside an occurrence of a window of an item, once per alignment."""
     terms = _terms(index, item_rows)
     size = F.least(F.col("n"), F.lit(window))
-    starts = terms.select("item", "n", F.col("k").alias("start")).where(F.col("start") <= F.col("n") - size)
-    starts = starts.withColumn("size", size)
-    inside = starts.join(terms.select("item", "k", "term", "cf"), "item").where("k >= start and k < start + size")
-    order = W.partitionBy("item", "start").orderBy("cf", "k")
-    ranked = inside.withColumn("rank", F.row_number().over(order))
-    # A second rarest term at another place; a window of one word has none, and is found by its only term.
+    starts = terms.select("item", size.alias("size"), "n", F.col("k").alias("start")).where("start <= n - size")
+    places = starts.select("item", "start", "size", F.explode(F.expr("sequence(start, start + size - 1)")).alias("k"))
+    inside = places.join(terms.select("item", "k", "term", "cf"), ["item", "k"])
+    ranked = inside.withColumn("rank", F.row_number().over(W.partitionBy("item", "start").orderBy("cf", "k")))
+    # A window of one word has no second rarest term and is found by its only one.
     windows = ranked.groupBy("item", "start", "size").agg(
         F.min("cf").alias("least"),
         F.min(F.when(F.col("rank") == 1, F.struct("term", "k"))).alias("r1"),
         F.min(F.when(F.col("rank") == 2, F.struct("term", "k"))).alias("r2"),
     )
-    windows = cut(windows.where("least > 0").select(
-        "item", F.col("r1.term").alias("t1"), F.col("r1.k").alias("k1"),
+    pairs = windows.where("least > 0").select(
+        "item", "start", "size", F.col("r1.term").alias("t1"), F.col("r1.k").alias("k1"),
         F.coalesce("r2.term", "r1.term").alias("t2"), F.coalesce("r2.k", "r1.k").alias("k2"),
-    ).distinct())
+    )
+    # Windows of one pair of terms overlap in it, so together they are less than two windows long.
+    ends = [F.min("start").alias("low"), F.max(F.expr("start + size - 1")).alias("high")]
+    windows = cut(pairs.groupBy("item", "t1", "k1", "t2", "k2").agg(*ends))
 
     rarest = sized(windows.select(F.col("t1").alias("term"), "item", "k1").distinct())
     aligned = index.postings.join(rarest, "term").select("row", "item", "k1", (F.col("pos") - F.col("k1")).alias("at"))
-    second = sized(windows.select("item", "k1", "t2", "k2").distinct())
-    expected = aligned.join(second, ["item", "k1"]).select("row", "item", "at", F.col("t2").alias("term"), (F.col("at") + F.col("k2")).alias("pos"))
+    second = sized(windows.select("item", "k1", "t2", "k2", "low", "high"))
+    expected = aligned.join(second, ["item", "k1"]).select("row", "item", "at", "low", "high", F.col("t2").alias("term"), (F.col("at") + F.col("k2")).alias("pos"))
     lists = index.postings.join(sized(windows.select(F.col("t2").alias("term")).distinct()), "term", "left_semi")
-    likely = cut(expected.join(lists, ["row", "pos", "term"]).select("row", "item", "at").distinct())
+    likely = cut(expected.join(lists, ["row", "pos", "term"]).select("row", "item", "at", "low", "high").distinct())
 
     # All lists, of the documents that are left.
     where = sized(likely.select("row").distinct())
     lists = index.postings.join(where, "row", "left_semi")
-    all_words = terms.select("item", "k", "term")
-    full = likely.join(sized(all_words), "item").select("row", "item", "at", "k", "term", (F.col("at") + F.col("k")).alias("pos"))
+    asked = likely.select("row", "item", "at", F.explode(F.sequence("low", "high")).alias("k")).distinct()
+    full = asked.join(sized(terms.select("item", "k", "term")), ["item", "k"]).withColumn("pos", F.col("at") + F.col("k"))
     met = full.join(lists, ["row", "pos", "term"]).select("row", "item", "at", "k", "pos")
     # Runs of consecutive words of one alignment; a run of a window's length holds one.
     line = W.partitionBy("row", "item", "at").orderBy("k")
