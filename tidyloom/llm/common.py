@@ -85,6 +85,17 @@ def stratified(
     return known.where(draw < share[column(label_col)])
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int) -> DataFrame:
+    """``(doc_id, text, label)`` of about ``per_label`` documents of each label, 0 and 1, in ``labels``.
+
+    The labels are drawn first, so their number has a bound and the texts are not shuffled to meet them.
+    """
+    known = labels.select(F.col("doc_id").alias("label_id"), column(label_col).cast("int").alias("label"))
+    drawn = stratified(known.where("label in (0, 1)").distinct(), "label_id", "label", per_label, 2)
+    texts = narrow(docs, "doc_id", "text")
+    return texts.join(F.broadcast(drawn.limit(4 * per_label)), F.col("doc_id") == F.col("label_id")).drop("label_id")
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, parts: int = 1000) -> DataFrame:
     """Inner join where ``right`` has one row per key and ``weight``, the number of left rows of that key.
 

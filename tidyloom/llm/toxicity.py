@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm.common import column, fold, map_pandas, narrow, stratified
+from tidyloom.llm.common import column, fold, labelled_texts, map_pandas, narrow, stratified
 
 BITS, SIZES = 20, (3, 4, 5, 6, 7)
 #: Bounds of the training sample: documents of a label, and the length up to which a text is taken for training.
@@ -147,6 +147,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labelled documents of two of three folds and score all of ``docs``."""
-    known = labels.where(~held_out()).select(F.col("doc_id").alias("label_id"), "toxic").where("toxic in (0, 1)").distinct()
-    model = fit(narrow(docs, "doc_id", "text").join(known, F.col("doc_id") == F.col("label_id")))
+    model = fit(labelled_texts(docs, labels.where(~held_out()), "toxic", 2 * PER_LABEL), label_col="label")
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
