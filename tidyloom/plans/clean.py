@@ -182,7 +182,8 @@ def _prepared(
     scope: str | None,
 ) -> DataFrame:
     """All-text table with its scope and row order as hidden columns."""
-    require_free(c for c in df.columns if c not in BOOKKEEPING)
+    keys = [order_by] if isinstance(order_by, str) else order_by or []
+    require_free(c for c in df.columns if c not in (*BOOKKEEPING, *keys))
     if scope is not None:
         others = [c for c in df.columns if c != scope]
         named = F.coalesce(ref(scope).cast("string"), F.lit(""))
