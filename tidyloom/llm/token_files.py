@@ -52,7 +52,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
         if len(seq) < 2:
             break
         pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        ordered = np.sort(pairs[~first[1:]])
+        ordered = pairs[~first[1:]]
+        ordered.sort()
         if not len(ordered):
             break
         edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
@@ -62,15 +63,18 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
             break
         rank = np.lexsort((ordered[edge[often]], -count[often]))
         chosen = _disjoint(ordered[edge[often[rank]]][: 4 * RULES_A_ROUND])[:RULES_A_ROUND]
+        del ordered, edge, count
         new = terminals + len(left) + np.arange(len(chosen), dtype=np.uint32)
         a, b = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
         left, right = np.append(left, a), np.append(right, b)
         grown = [np.where(x < terminals, 1, size[np.maximum(x.astype(np.int64) - terminals, 0)] if len(size) else 1) for x in (a, b)]
         size = np.append(size, (grown[0] + grown[1]).astype(np.uint32))
-        # Only symbols that begin a chosen pair are looked up.
-        begins = np.zeros(int(seq.max()) + 1, bool)
-        begins[a] = True
-        at = np.flatnonzero(begins[seq[:-1]] & ~first[1:])
+        # Only places whose symbols begin and end chosen pairs are looked up.
+        side = np.zeros(int(seq.max()) + 1, np.uint8)
+        side[a] |= 1
+        side[b] |= 2
+        sides = side[seq]
+        at = np.flatnonzero((sides[:-1] & 1 > 0) & (sides[1:] & 2 > 0) & ~first[1:])
         by = np.argsort(chosen)
         slot = np.minimum(np.searchsorted(chosen[by], pairs[at]), len(chosen) - 1)
         hit = chosen[by][slot] == pairs[at]
