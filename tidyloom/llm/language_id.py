@@ -240,6 +240,7 @@ def keep_identified(docs: DataFrame, model: dict[str, Any] | None, least: float
         return pd.DataFrame({"lang": names, "score": scores})
 
     batches(docs.sparkSession)
-    named = docs.withColumn("__found", found(column(text_col)))
+    # Declared non-deterministic, as a filter on it would otherwise be moved in front and evaluate it a second time.
+    named = docs.withColumn("__found", found.asNondeterministic()(column(text_col)))
     kept = named.where((F.col("__found.lang") != UNDETERMINED) & (F.col("__found.score") >= least))
     return kept.withColumn(lang_col, F.col("__found.lang")).select(*[column(c) for c in docs.columns])
