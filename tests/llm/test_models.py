@@ -39,6 +39,23 @@ def test_labels_of_held_out_documents_do_not_matter(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("per_label", [1500, 20])
+def test_share_of_a_label_does_not_depend_on_the_sample(spark, monkeypatch, per_label):
+    """All labels of the folds give the share, whether or not each of them is drawn."""
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    known = labels.where(~quality.held_out()).toPandas()
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "PER_LABEL", per_label)
+    monkeypatch.setattr(quality, "train", lambda *a, share=None, **k: seen.append(share) or train(*a, share=share, **k | {"steps": 1}))
+    quality.learn_and_score(docs, labels)
+    labelled = docs.join(labels.where(~quality.held_out()), "doc_id")
+    quality.fit(labelled)
+    assert seen == [pytest.approx(known.quality.mean())] * 2
+    flat = [np.zeros((1, quality.CHUNK), np.uint8)] * 4
+    a, b = (train(flat, np.array([0, 1, 1, 1]), steps=0, share=s)["top_bias"][0] for s in (0.5, 0.8))
+    assert b - a == pytest.approx(np.log(4), rel=1e-5)
+
+
 def test_gradient_through_time():
     """The hand-written gradient of the recurrent cell against differences."""
     rng = np.random.default_rng(0)

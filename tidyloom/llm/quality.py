@@ -62,8 +62,11 @@ def _document(w: Weights, hidden: np.ndarray, starts: np.ndarray, counts: np.nda
     return features, features @ w["top"] + w["top_bias"]
 
 
-def train(documents: Sequence[np.ndarray], labels: np.ndarray, seed: int = 5, steps: int = STEPS) -> Weights:
-    """Fit to documents, each an array of chunks, by backpropagation through both poolings."""
+def train(documents: Sequence[np.ndarray], labels: np.ndarray, seed: int = 5, steps: int = STEPS, share: float | None = None) -> Weights:
+    """Fit to documents, each an array of chunks, by backpropagation through both poolings.
+
+    ``share`` is that of label 1 where the documents were drawn from; by default that of ``labels``.
+    """
     rng = np.random.default_rng(seed)
     w: Weights = {
         "tables": rng.normal(0, 0.3, (WIDTH, 256, FILTERS)),
@@ -76,7 +79,8 @@ def train(documents: Sequence[np.ndarray], labels: np.ndarray, seed: int = 5, st
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     classes = [np.flatnonzero(labels == c) for c in (0, 1)]
     classes = [c for c in classes if len(c)]
-    share = labels.mean() if len(labels) else 0.5
+    if share is None:
+        share = labels.mean() if len(labels) else 0.5
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(c, BATCH // len(classes)) for c in classes])
         y = labels[pick].astype(np.float32)
@@ -138,15 +142,27 @@ def score_texts(model: Weights | None, texts: Sequence[str | None], prior: float
     return [round(float(p), 6) for p in 1 / (1 + np.exp(-logit.astype(np.float64)))]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Weights | None:
+def share_of_ones(rows: DataFrame, label_col: str) -> float | None:
+    """The share of label 1 among all rows labelled 0 or 1; None if there are none."""
+    label = column(label_col).cast("int")
+    return rows.where(label.isin(0, 1)).agg(F.avg(label)).first()[0]
+
+
+def fit(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float | None = None
+) -> Weights | None:
     """Learn from about ``PER_LABEL`` documents of each label, ``SAMPLE_CHUNKS`` chunks of each.
 
     The executors cut the chunks, so the driver gets about seven megabytes whatever the texts' lengths.
+    ``share`` is that of label 1 if ``labelled`` is a sample drawn by label; else it is counted in all its rows.
     Rows without a text count as empty texts, rows without a label are left out; None if there are
     not both labels.
     """
     rows = labelled.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), column(label_col).cast("int").alias("label"))
-    rows = stratified(rows.where("label in (0, 1)"), "doc_id", "label", PER_LABEL, 2)
+    rows = rows.where("label in (0, 1)")
+    if share is None:
+        share = share_of_ones(rows.where("doc_id is not null"), "label")
+    rows = stratified(rows, "doc_id", "label", PER_LABEL, 2)
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -162,7 +178,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     labels = np.array([r["label"] for r in got])
     if len(set(labels.tolist())) < 2:
         return None
-    return train([np.frombuffer(bytes(r["chunks"]), np.uint8).reshape(-1, CHUNK) for r in got], labels)
+    return train([np.frombuffer(bytes(r["chunks"]), np.uint8).reshape(-1, CHUNK) for r in got], labels, share=share)
 
 
 def score(df: DataFrame, model: Weights | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,6 +202,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from the labelled documents of four of five folds and score all of ``docs``."""
-    model = fit(labelled_texts(docs, labels.where(~held_out()), "quality", PER_LABEL), label_col="label")
+    """Learn from the labelled documents of four of five folds and score all of ``docs``.
+
+    The share of label 1 is that of all labels of these folds, each counted once, not of the sample.
+    """
+    known = labels.where(~held_out())
+    share = share_of_ones(known.select("doc_id", "quality").distinct(), "quality")
+    model = fit(labelled_texts(docs, known, "quality", PER_LABEL), label_col="label", share=share)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
