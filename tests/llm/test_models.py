@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import SF, TEXTS, awkward, empty, rows_of
 from tidyloom.llm import language_id, quality, toxicity
+from tidyloom.llm.common import labelled_texts
 
 
 def read(spark, table, sf="/root/testdata/sf0.01"):
@@ -56,6 +57,24 @@ def test_share_of_a_label_does_not_depend_on_the_sample(spark, monkeypatch, per_
     assert b - a == pytest.approx(np.log(4), rel=1e-5)
 
 
+def test_toxicity_sample_is_not_cut_by_identifier(spark, monkeypatch):
+    """The second draw thins out the first, and what is taken comes from all identifiers alike."""
+    monkeypatch.setattr(toxicity, "PER_LABEL", 100)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append((texts, labels)))
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    docs = labels.select("doc_id", F.concat(F.lit("text "), F.col("doc_id")).alias("text"))
+    toxicity.fit(labelled_texts(docs, labels, "toxic", 2 * toxicity.PER_LABEL), label_col="label")
+    texts, drawn = seen[0]
+    ids = np.array([int(t.split()[1]) for t in texts])
+    assert 60 < (drawn == 1).sum() < 140 and 60 < (drawn == 0).sum() < 140
+    assert 25 < (ids >= 3000).sum() < 75
+    same = docs.where("doc_id < 2").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("k")).select("doc_id", F.concat_ws(" ", "doc_id", "k").alias("text"), F.col("doc_id").alias("label"))
+    monkeypatch.setattr(toxicity, "stratified", lambda rows, *a, **k: rows)  # two identifiers, repeated: the limit acts
+    toxicity.fit(same, label_col="label")
+    assert len(seen[1][0]) == 400 and 120 < seen[1][1].sum() < 280
+
+
 def test_gradient_through_time():
     """The hand-written gradient of the recurrent cell against differences."""
     rng = np.random.default_rng(0)

@@ -68,11 +68,12 @@ def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def stratified(
-    df: DataFrame, id_col: str, label_col: str, per_label: int, max_labels: int = 64, exact: bool = False
+    df: DataFrame, id_col: str, label_col: str, per_label: int, max_labels: int = 64, exact: bool = False, seed: int = 7
 ) -> DataFrame:
     """About ``per_label`` rows of each of the ``max_labels`` most frequent labels, chosen by a hash of the identifier.
 
-    The choice depends on the identifiers only, so a repeated run takes the same rows. At most
+    The choice depends on the identifiers only, so a repeated run takes the same rows. A draw from rows
+    that were drawn before needs another ``seed``: with the same, all of them have passed already. At most
     ``2 * per_label * max_labels`` rows remain however large the input is.
     """
     known = df.where(column(label_col).isNotNull() & column(id_col).isNotNull())
@@ -81,7 +82,7 @@ def stratified(
     if not counts:
         return df.limit(0)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, per_label / r["count"]))])
-    draw = F.pmod(F.xxhash64(column(id_col), F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    draw = F.pmod(F.xxhash64(column(id_col), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return known.where(draw < share[column(label_col)])
 
 

@@ -79,7 +79,7 @@ def train(texts: Sequence[str], labels: np.ndarray) -> dict[str, Any]:
     owner = np.repeat(np.arange(len(rows)), [len(c) for c in column_of])
     flat = np.concatenate([np.empty(0, np.int32), *column_of])
     scale = ratio[keep]
-    # Balanced classes in the loss; the true share goes into the intercept afterwards.
+    # Balanced classes in the loss and in the intercept: THRESHOLD is one of a balanced probability.
     weight = np.where(y == 1, 0.5 / max(n1, 1), 0.5 / max(n0, 1))
     beta, bias = np.zeros(len(keep)), 0.0
     m, v, mb, vb = np.zeros(len(keep)), np.zeros(len(keep)), 0.0, 0.0
@@ -110,12 +110,14 @@ def score_text(model: dict[str, Any], text: str) -> float:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, Any] | None:
     """Learn from about ``PER_LABEL`` documents of each label with at most ``TRAIN_CHARS`` characters, each taken whole.
 
-    Both bounds together limit what the driver gets. Rows without a label or a text are left out;
-    None if there are not both labels.
+    Both bounds together limit what the driver gets: the draw gives about ``2 * PER_LABEL`` rows, and the
+    limit, which only many rows of one identifier can reach, takes rows by a hash, not by their identifiers.
+    Rows without a label or a text are left out; None if there are not both labels.
     """
     rows = labelled.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), column(label_col).cast("int").alias("label"))
     rows = rows.where(f"label in (0, 1) and length(text) between 1 and {TRAIN_CHARS}")
-    got = stratified(rows, "doc_id", "label", PER_LABEL, 2).orderBy("doc_id", "label", "text").limit(3 * PER_LABEL).collect()
+    drawn = stratified(rows, "doc_id", "label", PER_LABEL, 2, seed=11).orderBy(F.xxhash64("doc_id", "text", F.lit(13)), "doc_id", "label", "text")
+    got = drawn.limit(4 * PER_LABEL).orderBy("doc_id", "label", "text").collect()
     labels = np.array([r["label"] for r in got])
     if len(set(labels.tolist())) < 2:
         return None
