@@ -120,6 +120,24 @@ def test_decontamination_of_awkward_tables(spark):
     assert {r["n_hit"] for r in contamination.decontaminate(awkward(spark), table.limit(0)).collect()} == {0}
 
 
+#: Null and repeated identifiers with clean and contaminated texts, near-duplicates and copies.
+ROWS = [
+    (None, "p q r s"), (None, "leak of words here"), (None, "p q r s"), (None, "t u v w"), (7, "leak of words here"), (7, "one clean text"),
+    (7, "one clean text"), (8, "one clean text"), (3, "t u v w"), (None, None), (9, "another clean text of seven words"),
+]
+
+
+def test_rows_of_one_identifier_are_told_apart(spark):
+    docs = awkward(spark, ROWS)
+    items = spark.createDataFrame([(1, "leak of words here")], "item_id bigint, text string")
+    clean = contamination.drop_contaminated(docs, contamination.decontaminate(docs, items))
+    assert rows_of(clean, "doc_id", "text") == sort_rows([r for r in ROWS if r[1] != "leak of words here"])
+    kept = simhash.keep_one(docs, simhash.near_duplicates(docs))
+    assert kept.columns == docs.columns
+    want = [(None, "p q r s"), (7, "leak of words here"), (7, "one clean text"), (3, "t u v w"), (None, None), (9, "another clean text of seven words")]
+    assert rows_of(kept, "doc_id", "text") == sort_rows(want)
+
+
 def test_hits_on_random_words(spark):
     rng = random.Random(6)
     text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))

@@ -120,16 +120,20 @@ def phrase_hits(index: Index, item_rows: DataFrame, window: int = WINDOW) -> Dat
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
+    item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keyed: bool = True,
 ) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` of each row of ``docs``.
+    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` of each row of ``docs``; with ``keyed`` also ``text_key``.
 
+    ``text_key`` is a hash of the text, which tells rows of one identifier apart.
     Null and empty texts have no words and no hits; an item without words has no window, one of fewer
     than ``window`` words is one window. Repeated rows are separate documents with equal results.
     Items of one identifier count once, a null identifier not at all (its windows do mark words).
     Without items, or without documents, there are no hits. Other columns are not read.
     """
     item_rows = item_words(items, item_col, item_text_col)
+    if keyed:
+        row_key = F.struct(column(id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("text_key"))
+        docs, id_col, text_col = docs.select(row_key.alias("doc_id"), column(text_col).alias("text")), "doc_id", "text"
     index = index_for(docs, item_rows, id_col, text_col)
     hits = cut(phrase_hits(index, item_rows, window))
     places = hits.select("row", "pos").distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
@@ -138,12 +142,13 @@ def decontaminate(
     names = F.coalesce("names", F.array().cast("array<string>"))
     out = index.documents.join(places.join(named, "row", "left"), "row", "left")
     return out.select(
-        "doc_id",
+        "doc_id.doc_id" if keyed else "doc_id",
         F.col("n_words").cast("bigint").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.size(names).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
+        *(["doc_id.text_key"] if keyed else []),
     )
 
 
@@ -167,7 +172,8 @@ def proximity_matches(index: Index, item_rows: DataFrame, slack: int = 5) -> Dat
     return met.select("doc_id", "item_id", "first", "last")
 
 
-def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without any hit."""
-    hit = found.where("contaminated").select(F.col("doc_id").alias("__hit_id"))
-    return docs.join(hit, column(id_col).eqNullSafe(F.col("__hit_id")), "left_anti")
+def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any hit, told apart by identifier and text."""
+    hit = sized(found.where("contaminated").select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct())
+    same = column(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(column(text_col)) == F.col("__hit_key"))
+    return docs.join(hit, same, "left_anti")

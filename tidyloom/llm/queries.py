@@ -37,7 +37,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(parquet(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(parquet(spark, sf_dir, "documents"), keyed=False)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination.decontaminate(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
+    return contamination.decontaminate(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"), keyed=False)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm.common import join_hot, map_pandas, narrow
+from tidyloom.llm.common import column, join_hot, map_pandas, narrow, sized
 from tidyloom.llm.components import smallest_members
 from tidyloom.session import cut
 
@@ -60,15 +60,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` of each row, from the whole text."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` of each row, from the whole text; with ``keyed`` also ``text_key``, a hash of the text."""
     rows = narrow(df, id_col, text_col)
+    if keyed:
+        rows = rows.withColumn("text_key", F.xxhash64("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], np.int64)})
+            yield b.drop(columns="text").assign(fp=np.array([fingerprint(t) for t in b["text"]], np.int64))
 
-    return map_pandas(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint")
+    return map_pandas(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, {'text_key bigint, ' if keyed else ''}fp bigint")
 
 
 def _signed(x: int) -> int:
@@ -114,22 +116,39 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` of each row.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = True) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` of each row; with ``keyed`` also ``text_key`` and ``kept``.
 
     A null text is like an empty one: fingerprint zero, linked as any other. Repeated rows have one
     component and are each returned. A null identifier is never the smallest; a component of nulls
-    only has a null ``component_id``. Other columns are not read.
+    only has a null ``component_id``. Identifiers may repeat with other texts, so rows are told apart by
+    identifier and hash of the text: ``kept`` are the rows of the smallest such pair of each component,
+    more than one only if that row is repeated. Other columns are not read.
     """
-    rows = cut(fingerprints(df, id_col, text_col))
-    nodes = cut(rows.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
+    rows = cut(fingerprints(df, id_col, text_col, keyed))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")) if keyed else F.min("doc_id")
+    nodes = cut(rows.groupBy(F.col("fp").alias("node")).agg(least.alias("id"), F.count("*").alias("copies")))
     links = close_pairs(nodes.select(F.col("node").alias("fp")))
     members = cut(smallest_members(nodes, links).withColumnRenamed("node", "fp"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return join_hot(rows, members, "fp", "copies").select("doc_id", text, "component_id")
+    found = join_hot(rows, members, "fp", "copies")
+    if not keyed:
+        return found.select("doc_id", text, "component_id")
+    first = F.col("component_id.doc_id")
+    kept = F.col("doc_id").eqNullSafe(first) & (F.col("text_key") == F.col("component_id.text_key"))
+    return found.select("doc_id", text, first.alias("component_id"), "text_key", kept.alias("kept"))
 
 
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose identifier is the smallest of its group."""
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each group: of those with the smallest identifier, that with the smallest hash of its text.
+
+    A group of null identifiers only keeps one of them. Of rows with equal identifiers and texts one is
+    taken, whatever their other columns hold.
+    """
+    kept = found.where("kept").groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key"))
+    kept = cut(kept.agg(F.count("*").alias("__copies")))
+    key = F.xxhash64(column(text_col))
+    same = column(id_col).eqNullSafe(F.col("__kept_id")) & (key == F.col("__kept_key"))
+    single = docs.join(kept.where("__copies = 1"), same, "left_semi")
+    repeated = docs.join(sized(kept.where("__copies > 1")), same).dropDuplicates(["__kept_id", "__kept_key"])
+    return single.unionByName(repeated.select(*[column(c) for c in docs.columns]))
