@@ -153,6 +153,16 @@ def test_proximity(spark):
     assert rows_of(contamination.proximity_matches(index, items, 3), "doc_id", "item_id", "first", "last") == [(1, 9, 1, 4)]
 
 
+def test_proximity_of_windows(spark):
+    """A word that the corpus lacks, a passage of a long item, and two rare words without the others."""
+    docs = [(1, "x one two three four y"), (2, "x e f so g h y"), (3, "one far four"), (4, "h g f e")]
+    items = [(1, "one two lacking three four"), (2, "q1 x a b c d e f g h q2 y")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    rows = contamination.item_words(i)
+    found = contamination.proximity_matches(contamination.index_for(d, rows), rows, 2, 4)
+    assert rows_of(found, "doc_id", "item_id", "first", "last") == [(1, 1, 1, 3), (1, 1, 2, 4), (2, 2, 1, 2), (2, 2, 1, 4), (2, 2, 1, 5), (2, 2, 2, 5), (2, 2, 4, 6)]
+
+
 def test_decontamination_is_native(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = contamination.decontaminate(docs, items)._jdf.queryExecution().toString()

@@ -152,24 +152,49 @@ def decontaminate(
     )
 
 
-def proximity_matches(index: Index, item_rows: DataFrame, slack: int = 5) -> DataFrame:
-    """``(doc_id, item_id, first, last)``: places where the two rarest words of an item stand at most ``slack`` words farther apart than in the item, in its order.
+def proximity_matches(index: Index, item_rows: DataFrame, slack: int = 5, window: int = WINDOW) -> DataFrame:
+    """``(doc_id, item_id, first, last)``: places where the words of a window of an item stand together, though not as a phrase.
 
-    Words and places that occur repeatedly give one row each. Items of one word match nothing.
+    A window counts with its words that the corpus has, of which it needs two: each of the others must stand
+    on its side of the rarest one, at most ``slack`` words farther from it than in the item. Of several
+    places of a word the one nearest to its place in the item is taken. ``first`` and ``last`` span all
+    these words; windows with one span give one row. Items of one word match nothing.
     """
     terms = _terms(index, item_rows)
-    ranked = terms.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy("cf", "k"))).where("rank <= 2")
-    pairs = ranked.groupBy("item", "item_id").agg(F.sort_array(F.collect_list(F.struct("k", "term", "cf"))).alias("t"))
-    pairs = pairs.where("size(t) = 2 and t[0].cf > 0 and t[1].cf > 0").select(
-        "item", "item_id", F.expr("t[0].term").alias("t1"), F.expr("t[1].term").alias("t2"), F.expr("t[1].k - t[0].k").alias("apart"),
-    )
-    pairs = sized(pairs)
-    first = index.postings.join(pairs, F.col("term") == F.col("t1")).select("row", "item", "item_id", "t2", "apart", F.col("pos").alias("first"))
-    reach = first.withColumn("last", F.explode(F.sequence(F.col("first") + 1, F.col("first") + F.col("apart") + F.lit(slack))))
-    lists = index.postings.select("row", F.col("term").alias("t2"), F.col("pos").alias("last"))
-    lists = lists.join(sized(pairs.select("t2").distinct()), "t2", "left_semi")
-    met = reach.join(lists, ["row", "t2", "last"]).join(index.documents, "row")
-    return met.select("doc_id", "item_id", "first", "last")
+    size = F.least(F.col("n"), F.lit(window))
+    starts = terms.select("item", size.alias("size"), "n", F.col("k").alias("start")).where("start <= n - size")
+    places = starts.select("item", "start", F.explode(F.expr("sequence(start, start + size - 1)")).alias("k"))
+    known = places.join(terms.where("cf > 0").select("item", "k", "term", "cf"), ["item", "k"])
+    whole = W.partitionBy("item", "start")
+    known = known.withColumn("rank", F.row_number().over(whole.orderBy("cf", "k"))).withColumn("known", F.count("*").over(whole))
+    known = cut(known.where("known > 1"))
+    anchors = known.where("rank = 1").select("item", "start", "known", F.col("k").alias("k1"), F.col("term").alias("t1"))
+    second = known.where("rank = 2").select("item", "start", F.col("k").alias("k2"), F.col("term").alias("t2"))
+    windows = sized(anchors.join(second, ["item", "start"]))
+
+    def reach(at: str, k1: str, k: str) -> Column:
+        after, before = f"sequence({at} + 1, {at} + {k} - {k1} + {slack})", f"sequence({at} + {k} - {k1} - {slack}, {at} - 1)"
+        return F.explode(F.expr(f"if({k} > {k1}, {after}, {before})"))
+
+    rarest = sized(windows.select("item", "k1", "t1", "k2", "t2").distinct())
+    found = index.postings.join(rarest, F.col("term") == F.col("t1")).select("row", "item", "k1", "k2", F.col("pos").alias("at"), F.col("t2").alias("term"))
+    expected = found.withColumn("pos", reach("at", "k1", "k2"))
+    lists = index.postings.join(sized(windows.select(F.col("t2").alias("term")).distinct()), "term", "left_semi")
+    likely = cut(expected.join(lists, ["row", "pos", "term"]).select("row", "item", "at", "k1", "k2").distinct())
+
+    # All lists, of the documents that are left.
+    lists = index.postings.join(sized(likely.select("row").distinct()), "row", "left_semi")
+    others = sized(known.where("rank > 1").select("item", "start", "k", "term"))
+    asked = likely.join(windows.select("item", "start", "known", "k1", "k2"), ["item", "k1", "k2"]).join(others, ["item", "start"])
+    met = asked.withColumn("pos", reach("at", "k1", "k")).join(lists, ["row", "pos", "term"])
+    away = F.abs(F.expr("pos - at - k + k1"))
+    met = met.groupBy("row", "item", "start", "known", "at", "k").agg(F.min(F.struct(away.alias("away"), "pos")).alias("near"))
+    spans = met.groupBy("row", "item", "start", "known", "at").agg(
+        F.count("*").alias("n"), F.min("near.pos").alias("low"), F.max("near.pos").alias("high")
+    )
+    spans = spans.where("n = known - 1").select("row", "item", F.least("low", "at").alias("first"), F.greatest("high", "at").alias("last")).distinct()
+    names = sized(item_rows.select("item", "item_id").distinct())
+    return spans.join(names, "item").join(index.documents, "row").select("doc_id", "item_id", "first", "last")
 
 
 def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
