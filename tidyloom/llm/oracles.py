@@ -54,6 +54,18 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join hit on d.doc_id = hit.doc_id left join its on d.doc_id = its.doc_id
 """
 
+OP12 = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+win as (select r, s, array_to_string(w[s:s + 34], ' ') as x
+        from (select r, w, unnest(range(1, len(w) - 33)) as s from d where len(w) >= 35)),
+rep as (select x from win group by x having count(*) > 1),
+hit as (select distinct r, unnest(range(s, s + 35)) as p from win join rep on win.x = rep.x),
+words as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select r, string_agg(word, ' ' order by p) as k, count(*) as n from words anti join hit using (r, p) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from d left join kept on d.r = kept.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op7_contamination": OP7, "op9_embedding_dedup": OP9}
+    return {"op2_warc": OP2, "op7_contamination": OP7, "op9_embedding_dedup": OP9, "op12_substring_dedup": OP12}

@@ -15,6 +15,7 @@ from tidyloom.llm import (
     quality,
     secrets,
     simhash,
+    substring_dedup,
     token_files,
     toxicity,
     warc,
@@ -65,9 +66,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.learn_and_score(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.repeated_passages(parquet(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     all_ = [
         op1_language_id, op2_warc, op3_token_files, op4_simhash, op5_toxicity,
         op6_secrets, op7_contamination, op8_packing, op9_embedding_dedup, op10_quality,
+        op12_substring_dedup,
     ]
     return {f.__name__: f for f in all_}
