@@ -66,6 +66,22 @@ select doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_r
 from d left join kept on d.r = kept.r
 """
 
+OP11 = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents where text is not null),
+tok as (select doc_id, unnest(t) as term from d),
+tf as (select doc_id, term, count(*) as tf from tok group by doc_id, term),
+len as (select doc_id, count(*) as n from tok group by doc_id),
+s as (select count(*) as n_docs, cast(sum(n) as bigint) as total from len),
+df as (select term, count(*) as df from tf group by term),
+i as (select distinct item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark where text is not null),
+w as (select item_id, term, cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w from i join df using (term), s),
+m as (select doc_id, 100 - 90 + ((90 * n * n_docs) // total) as m from len, s),
+sc as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+       from w join tf using (term) join m using (doc_id) group by item_id, doc_id),
+r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from sc where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op7_contamination": OP7, "op9_embedding_dedup": OP9, "op12_substring_dedup": OP12}
+    return {"op2_warc": OP2, "op7_contamination": OP7, "op9_embedding_dedup": OP9, "op11_lexical_search": OP11, "op12_substring_dedup": OP12}

@@ -11,6 +11,7 @@ from tidyloom.llm import (
     contamination,
     embedding_dedup,
     language_id,
+    lexical_search,
     packing,
     quality,
     secrets,
@@ -66,6 +67,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.learn_and_score(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.repeated_passages(parquet(spark, sf_dir, "documents")))
 
@@ -74,6 +79,6 @@ def queries() -> dict[str, Query]:
     all_ = [
         op1_language_id, op2_warc, op3_token_files, op4_simhash, op5_toxicity,
         op6_secrets, op7_contamination, op8_packing, op9_embedding_dedup, op10_quality,
-        op12_substring_dedup,
+        op11_lexical_search, op12_substring_dedup,
     ]
     return {f.__name__: f for f in all_}
