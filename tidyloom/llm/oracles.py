@@ -82,6 +82,20 @@ r as (select item_id, doc_id, score, row_number() over (partition by item_id ord
 select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 10
 """
 
+#: The given tables hold whole vectors only.
+OP13 = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+             list_transform(cast(embedding as double[]), lambda x: floor(256 * x)) as e
+           from embeddings where label is not null and embedding is not null),
+s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_inner_product(a.e, b.e) as bigint) as s
+      from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
+n as (select p.a, p.b, s.b as n, p.s as ps, s.s as ns, row_number() over (partition by p.a, p.b order by s.s desc, s.b) as rank
+      from p join s on p.a = s.a and not s.same and 80 * p.s <= 100 * s.s and 100 * s.s <= 100 * p.s)
+select a as anchor_id, b as positive_id, cast(rank as integer) as rank, n as negative_id, ps as positive_score, ns as negative_score
+from n where rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op7_contamination": OP7, "op9_embedding_dedup": OP9, "op11_lexical_search": OP11, "op12_substring_dedup": OP12}
+    return {"op2_warc": OP2, "op7_contamination": OP7, "op9_embedding_dedup": OP9, "op11_lexical_search": OP11, "op12_substring_dedup": OP12, "op13_hard_negatives": OP13}

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidyloom.llm import (
     contamination,
     embedding_dedup,
+    hard_negatives,
     language_id,
     lexical_search,
     packing,
@@ -75,10 +77,14 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.repeated_passages(parquet(spark, sf_dir, "documents")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.shifted_labels(parquet(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     all_ = [
         op1_language_id, op2_warc, op3_token_files, op4_simhash, op5_toxicity,
         op6_secrets, op7_contamination, op8_packing, op9_embedding_dedup, op10_quality,
-        op11_lexical_search, op12_substring_dedup,
+        op11_lexical_search, op12_substring_dedup, op13_hard_negatives,
     ]
     return {f.__name__: f for f in all_}
