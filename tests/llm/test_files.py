@@ -3,6 +3,7 @@
 import io
 import random
 import struct
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -222,3 +223,62 @@ def test_redaction(spark):
     assert texts[2][0] == 'é é [SECRET]" [SECRET]' and texts[2][1] == len(texts[2][0])
     assert texts[3][0] == "key [SECRET] in one place" and texts[8][0] is None and texts[9][0] == ""
     assert texts[5] == (SECRETS[4][1], 5)
+
+
+def morse(n=10):
+    """Two words that any polynomial hash modulo a power of two takes for one."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("name", [BYTES, WORDS])
+def test_ids_of_pieces_whose_hashes_collide(monkeypatch, name):
+    one, two = morse()
+    texts = [one, two, f"x {one} {two} y", " ".join(morse(5)), "the cat, the hat\n the mat"]
+    cache = tokenizing.WordCache(name)
+    want = [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in cache.encode(texts)] == want
+    # A hash that takes all pieces of one length for one.
+    monkeypatch.setattr(tokenizing, "hash_words", lambda raw, starts, ends: (ends - starts).astype(np.uint64))
+    assert [g.tolist() for g in tokenizing.WordCache(name).encode(texts)] == want
+    monkeypatch.setattr(tokenizing, "SLICE", 700)  # through the path of long texts
+    assert [g.tolist() for g in tokenizing.WordCache(name).encode(texts)] == want
+
+
+def test_compression_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(8)
+    ids = np.concatenate([rng.integers(0, 40, 20_000), np.tile(rng.integers(0, 40, 700), 30)]).astype(np.uint32)
+    starts = np.array([0, 5000, 20_000])
+    rules, size, symbols, first = token_files.compress(ids, starts, 40)
+    assert (token_files.expand(symbols, rules, size, 40) == ids).all()
+    pairs = [(a, b) for k, (a, b) in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)) if k + 1 not in first]
+    left = Counter(pairs)
+    assert max(n for (a, b), n in left.items() if a != b) < token_files.LEAST_PLACES
+    assert size.max() > 100
+
+
+def test_prompts_bear_no_loss(spark):
+    rows = [(1, "the answer is here", "a long question about it"), (2, "yes", None), (3, None, "only a question"), (4, "x y z", "")]
+    df = spark.createDataFrame(rows * 30, "doc_id bigint, text string, ask string")
+    tokenizer = tokenizing.WordCache(WORDS).tokenizer
+    ids = {d: [tokenizer.encode(t or "", add_special_tokens=False).ids for t in (p, x)] for d, x, p in rows}
+    got = packing.pack(df, WORDS, tokens=64, segments=8, loss=12, prompt_col="ask").collect()
+    for d, (before, text) in ids.items():
+        mine = [r for r in got if r["doc_id"] == d]
+        assert {r["doc_tokens"] for r in mine} == {len(before) + len(text) + 1}
+        assert sum(r["loss_tokens"] for r in mine) == 30 * (len(text) + 1) and sum(r["length"] for r in mine) == 30 * (len(before) + len(text) + 1)
+    by_sequence = Counter()
+    for r in got:
+        by_sequence[r["sequence_id"]] += r["loss_tokens"]
+    assert max(by_sequence.values()) <= 12
+
+
+def test_repositories_and_owners_decide(spark):
+    """Two owners: neither live nor copied; one owner in very many repositories: copied."""
+    pair, many = "Zx9cVb8nMa7sDf6gHj5kLq4w", "Qw3eRt6yUi9oPa2sDf5gHj8k"
+    rows = [(1, f"see {pair}", "a"), (2, f"see {pair}", "b")] + [(10 + i, f"see {many}", "a") for i in range(secrets.WIDE_REPOSITORIES)]
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))).collect()}
+    assert got[1]["spans"] == "mixed:4:28" and (got[1]["n_live"], got[1]["n_copied"]) == (0, 0)
+    assert all(got[10 + i]["spans"] == "" for i in range(secrets.WIDE_REPOSITORIES))

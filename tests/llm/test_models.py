@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import SF, TEXTS, awkward, empty, rows_of
 from tidyloom.llm import language_id, quality, toxicity
-from tidyloom.llm.common import labelled_texts
+from tidyloom.llm.common import labelled_texts, stratified
 
 
 def read(spark, table, sf="/root/testdata/sf0.01"):
@@ -148,3 +148,13 @@ def test_awkward_tables(spark):
     unknown = language_id.learn_and_identify(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {(r["lang_pred"], r["score"]) for r in unknown.collect()} == {("und", 0.0)}
     assert len(TEXTS) == unknown.count()
+
+
+def test_draw_is_bounded_by_label(spark):
+    """One identifier on most rows crowds out no label, by alphabet or otherwise."""
+    rows = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text"), F.lit("aa").alias("lang"))
+    more = spark.range(520).select("id", F.concat(F.lit("t"), "id").alias("text"), F.expr("char(97 + id % 26)").alias("lang"))
+    got = stratified(rows.unionByName(more.withColumnRenamed("id", "doc_id").withColumn("doc_id", F.lit(1))), "doc_id", "lang", 5)
+    assert got.columns == ["doc_id", "text", "lang"]
+    counts = {r["lang"]: r["count"] for r in got.groupBy("lang").count().collect()}
+    assert max(counts.values()) <= 10 and len(set(counts) - {"aa"}) == 26

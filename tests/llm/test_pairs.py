@@ -20,6 +20,7 @@ from tests.llm.helpers import (
 )
 from tidyloom.llm import components as graph
 from tidyloom.llm import contamination, embedding_dedup, simhash
+from tidyloom.llm.common import join_hot
 from tidyloom.llm.components import connected_components
 
 
@@ -167,3 +168,11 @@ def test_decontamination_is_native(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = contamination.decontaminate(docs, items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_hot_keys_are_taken_out_before_the_shuffle(spark):
+    left = spark.range(3000).select(F.when(F.col("id") < 1000, 7).when(F.col("id") < 1010, F.lit(None)).otherwise(F.col("id")).alias("k"), "id")
+    right = left.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    got = join_hot(left, right, "k", "n", parts=100)
+    assert got.count() == 2990 and got.where("k = 7 and n = 1000").count() == 1000
+    assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()

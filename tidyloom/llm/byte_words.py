@@ -93,6 +93,23 @@ def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
+def same_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each word of ``raw`` has the bytes of its counterpart in ``other``, which ends with eight spare bytes."""
+    size = ends - starts
+    out = size == to - at
+    live = np.flatnonzero(out & (size <= LONG))
+    mine, its = lanes_of(raw), np.ndarray((len(other) - 7,), "<u8", other, 0, (1,))
+    a, b, left = starts[live], at[live], size[live]
+    while len(live):
+        same = lane(mine, a, left) == lane(its, b, left)
+        out[live[~same]] = False
+        more = same & (left > 8)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    for k in np.flatnonzero(out & (size > LONG)).tolist():
+        out[k] = bool((raw[starts[k] : ends[k]] == other[at[k] : to[k]]).all())
+    return out
+
+
 def mix(acc: np.ndarray, value: np.ndarray) -> np.ndarray:
     """One more hash into a sequence of hashes."""
     acc = (acc ^ value) * _ODD

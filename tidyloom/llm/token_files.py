@@ -3,7 +3,7 @@
 A file holds blocks of at most ``BLOCK_IDS`` ids, each with a grammar of its own. A block is compressed
 in rounds: the most frequent pairs of neighbouring symbols, no two of which share a symbol in a way
 that could make their places overlap, become nonterminals and are replaced everywhere from left to
-right; rounds go on while pairs are frequent enough. A pair never reaches across two documents.
+right; rounds go on until no pair has ``LEAST_PLACES`` places. A pair never reaches across two documents.
 
 Block layout, little-endian:
 
@@ -37,9 +37,12 @@ from tidyloom.llm.tokenizing import word_cache
 from tidyloom.session import cut
 
 BLOCK_IDS, SHARD_BYTES = 1 << 22, 24 << 20
-ROUNDS, RULES_A_ROUND, LEAST_PLACES = 10, 2000, 16
+RULES_A_ROUND, LEAST_PLACES = 8000, 16
+#: Bits of the hash by which pairs are counted.
+SLOT_BITS = 20
 END_ID = 0
 MAGIC = b"RPB1"
+_ODDS = np.array([0x9E3779B1, 0x85EBCA77], np.uint32)
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,36 +51,24 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
     first = np.zeros(len(seq), bool)
     first[starts] = True
     left, right, size = (np.empty(0, np.uint32) for _ in range(3))
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
+    while len(seq) > 1:
+        places, pairs, frequent = _frequent(seq, first, 4 * RULES_A_ROUND)
+        chosen = _disjoint(frequent)[:RULES_A_ROUND]
+        if not len(chosen):
             break
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        ordered = pairs[~first[1:]]
-        ordered.sort()
-        if not len(ordered):
-            break
-        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(count >= LEAST_PLACES)
-        if not len(often):
-            break
-        rank = np.lexsort((ordered[edge[often]], -count[often]))
-        chosen = _disjoint(ordered[edge[often[rank]]][: 4 * RULES_A_ROUND])[:RULES_A_ROUND]
-        del ordered, edge, count
         new = terminals + len(left) + np.arange(len(chosen), dtype=np.uint32)
         a, b = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
         left, right = np.append(left, a), np.append(right, b)
         grown = [np.where(x < terminals, 1, size[np.maximum(x.astype(np.int64) - terminals, 0)] if len(size) else 1) for x in (a, b)]
         size = np.append(size, (grown[0] + grown[1]).astype(np.uint32))
         # Only places whose symbols begin and end chosen pairs are looked up.
-        side = np.zeros(int(seq.max()) + 1, np.uint8)
-        side[a] |= 1
-        side[b] |= 2
-        sides = side[seq]
-        at = np.flatnonzero((sides[:-1] & 1 > 0) & (sides[1:] & 2 > 0) & ~first[1:])
+        begins, ends = (np.zeros(int(new[-1]) + 1, bool) for _ in range(2))
+        begins[a] = ends[b] = True
+        near = begins[seq[places]] & ends[seq[places + 1]]
+        at, pairs = places[near], pairs[near]
         by = np.argsort(chosen)
-        slot = np.minimum(np.searchsorted(chosen[by], pairs[at]), len(chosen) - 1)
-        hit = chosen[by][slot] == pairs[at]
+        slot = np.minimum(np.searchsorted(chosen[by], pairs), len(chosen) - 1)
+        hit = chosen[by][slot] == pairs
         at, rule = at[hit], by[slot[hit]]
         # Places overlap only in runs of one symbol: take every second of a run.
         run = np.append(True, at[1:] != at[:-1] + 1)
@@ -91,6 +82,28 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
     return np.stack([left, right]), size, seq, np.flatnonzero(first)
 
 
+def _frequent(seq: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs that may be frequent, the pairs there, and the frequent ones by falling frequency.
+
+    These are the pairs of at least ``LEAST_PLACES`` places, about the first ``most``. Places are counted by a
+    hash first, so only those of pairs that may be among them are looked at further.
+    """
+    slot = (seq[:-1] * _ODDS[0] ^ seq[1:] * _ODDS[1]) >> np.uint32(32 - SLOT_BITS)
+    slot[first[1:]] = 0  # no pair; this slot counts a few places too many
+    count = np.bincount(slot, minlength=1 << SLOT_BITS)
+    least = max(LEAST_PLACES, int(np.partition(count, -most)[-most]))
+    while True:
+        places = np.flatnonzero((count >= least)[slot] & ~first[1:])
+        pairs = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
+        ordered = np.sort(pairs)
+        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+        times = np.diff(np.append(edge, len(ordered)))
+        often = np.flatnonzero(times >= least)
+        if len(often) or least == LEAST_PLACES:
+            return places, pairs, ordered[edge[often[np.lexsort((ordered[edge[often]], -times[often]))]]]
+        least = LEAST_PLACES  # only pairs that share a slot reached that number
+
+
 def _disjoint(pairs: np.ndarray) -> np.ndarray:
     """Of pairs by falling frequency, those whose left symbol is no earlier right symbol, and the other way round."""
     lefts, rights, keep = set(), set(), []

@@ -2,31 +2,36 @@
 
 Byte-pair encoding works on the pieces that the tokenizer's pattern cuts a text into, and most pieces
 of a corpus are seen before. Texts are cut at places where every such pattern cuts too; each distinct
-piece goes through the tokenizer once and its ids are kept while the Python worker lives. The places:
+piece goes through the tokenizer once and its ids are kept while the Python worker lives. Pieces are found
+by a hash, and the bytes of each are compared with those of the piece that was found; one that differs
+goes through the tokenizer alone. The places:
 
 * before a space or line break that follows a character that is surely no white space;
 * after a line break that stands alone between two such characters;
 * between an ASCII letter and ASCII punctuation, in either order, but for apostrophes (contractions).
 
+New pieces are given to the tokenizer many at a time. Where its tokens spell bytes one to one, pieces between
+which it is sure to cut are simply joined, and the lengths of the tokens tell them apart; the others
+are joined with an added token.
+
 Texts that hold one of the tokenizer's added tokens go through it whole.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from tidyloom.llm.byte_words import hash_words, same_words
 from tidyloom.llm.common import worker_state
 
-#: Bytes worked on at once, and pieces kept by a worker before it starts anew.
-SLICE, KEPT = 1 << 20, 600_000
-#: Pieces joined for one call of the tokenizer.
-JOINED = 256
-
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes worked on at once, and pieces kept by a worker (some 60 bytes each) before it starts anew.
+SLICE, KEPT = 1 << 21, 1_500_000
+#: Pieces joined for one call of the tokenizer, with and without an added token.
+MARKED, JOINED = 64, 256
 
 
 def _kinds() -> np.ndarray:
@@ -49,17 +54,16 @@ class WordCache:
         self.mark_id, mark = next(iter(added.items()))
         self.mark = mark.content
         self.kinds = _kinds()
-        rng = np.random.default_rng(1)
-        self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.powers = np.multiply.accumulate(np.full(SLICE + 1, _ODD))
-        self.inverses = np.multiply.accumulate(np.full(SLICE + 1, _INVERSE))
+        self.spelled = self._spelled()
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids = np.empty(1 << 20, np.uint32)
-        self.begin, self.length = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
-        self.used = 0
+        #: Ascending hashes of the known pieces, and the number of each piece.
+        self.hashes, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.known, self.used, self.bytes_used = 0, 0, 0
+        self.ids, self.text = np.empty(1 << 20, np.uint32), np.zeros(1 << 20, np.uint8)
+        #: By number: first id and number of ids, first byte and end in ``text``.
+        self.begin, self.length, self.at, self.end = (np.empty(1 << 18, np.int64) for _ in range(4))
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """True where a piece begins."""
@@ -83,41 +87,88 @@ class WordCache:
         if size > len(array):
             setattr(self, name, np.concatenate([array, np.empty(max(size, 2 * len(array)) - len(array), array.dtype)]))
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        for s in range(0, len(pieces), JOINED):
-            part = pieces[s : s + JOINED]
-            got = self.tokenizer.encode_batch_fast([self.mark.join(p.decode("utf-8", "replace") for p in part)], add_special_tokens=False)[0].ids
-            got = np.array(got, np.uint32)
-            ends = np.append(np.flatnonzero(got == self.mark_id), len(got))
-            begins = np.append(0, ends[:-1] + 1)
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer's added token did not separate the pieces")
-            at = len(self.number)
-            self._grow("ids", self.used + len(got))
-            self._grow("begin", at + len(part))
-            self._grow("length", at + len(part))
-            self.ids[self.used : self.used + len(got)] = got
-            self.begin[at : at + len(part)], self.length[at : at + len(part)] = self.used + begins, ends - begins
-            self.used += len(got)
-            self.number.update(zip(part, range(at, at + len(part)), strict=True))
+    def _spelled(self) -> np.ndarray | None:
+        """The number of bytes of each token, if its letters stand for bytes; else None."""
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"] or {}
+        kinds = {p["type"]: p for p in before.get("pretokenizers", [before]) if p}
+        if parts["model"]["type"] != "BPE" or parts["normalizer"] or "ByteLevel" not in kinds or kinds["ByteLevel"].get("add_prefix_space"):
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        out = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            out[i] = len(token)
+        return out
+
+    def _apart(self, pieces: list[bytes]) -> np.ndarray:
+        """Whether a piece begins with a space and ends with what is surely no white space: two such are cut apart."""
+        first = np.array([p[0] for p in pieces], np.uint8)
+        last, before = (np.array([p[k] if len(p) >= -k else 0 for p in pieces], np.uint8) for k in (-1, -2))
+        solid = ((self.kinds[last] & 4) > 0) | ((self.kinds[before] == 8) & (last >= 0x80))
+        return (first == 32) & solid
+
+    def _ids_of(self, part: list[bytes], apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids for pieces, and where each piece begins and ends among them."""
+        words = [p.decode("utf-8", "replace") for p in part]
+        if apart:
+            got = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            stops, read = np.cumsum([len(p) for p in part]), np.cumsum(self.spelled[got])
+            ends = np.searchsorted(read, stops)
+            if len(got) and read[-1] == stops[-1] and (read[np.minimum(ends, len(read) - 1)] == stops).all():
+                return got, np.append(0, ends[:-1] + 1), ends + 1
+        got = np.array(self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.append(np.flatnonzero(got == self.mark_id), len(got))
+        if len(ends) != len(part):
+            raise ValueError("the tokenizer's added token did not separate the pieces")
+        return got, np.append(0, ends[:-1] + 1), ends
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Keep the ids and bytes of new pieces; their numbers."""
+        apart = self._apart(pieces) if self.spelled is not None else np.zeros(len(pieces), bool)
+        for flag, step in ((True, JOINED), (False, MARKED)):
+            some = np.flatnonzero(apart == flag).tolist()
+            for s in range(0, len(some), step):
+                self._keep([pieces[k] for k in some[s : s + step]], flag)
+        numbers = np.empty(len(pieces), np.int64)
+        numbers[np.argsort(~apart, kind="stable")] = np.arange(self.known - len(pieces), self.known)
+        return numbers
+
+    def _keep(self, part: list[bytes], apart: bool) -> None:
+        got, begins, ends = self._ids_of(part, apart)
+        at, now = self.known, slice(self.known, self.known + len(part))
+        raw = np.frombuffer(b"".join(part), np.uint8)
+        stops = self.bytes_used + np.cumsum([len(p) for p in part])
+        for name, size in (("ids", self.used + len(got)), ("text", self.bytes_used + len(raw) + 8), *((n, at + len(part)) for n in ("begin", "length", "at", "end"))):
+            self._grow(name, size)
+        self.ids[self.used : self.used + len(got)] = got
+        self.text[self.bytes_used : self.bytes_used + len(raw)] = raw
+        self.begin[now], self.length[now] = self.used + begins, ends - begins
+        self.at[now], self.end[now] = np.append(self.bytes_used, stops[:-1]), stops
+        self.used, self.bytes_used, self.known = self.used + len(got), int(stops[-1]), at + len(part)
 
     def _encode_slice(self, data: np.ndarray, starts: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces that begin at ``starts``, and how many each has."""
         ends = np.append(starts[1:], len(data))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[data] * self.powers[: len(data)])])
-        hashes = (sums[ends] - sums[starts]) * self.inverses[starts]
-        hashes ^= (ends - starts).astype(np.uint64)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.number) > KEPT:
+        hashes, first, which = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+        if self.known > KEPT:
             self._clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.number]
-        if new:
-            self._learn(new)
-        known = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))[which]
-        sizes = self.length[known]
-        at = np.repeat(self.begin[known] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        return self.ids[at], sizes
+        place = np.searchsorted(self.hashes, hashes)
+        new = place == len(self.hashes)
+        new[~new] = self.hashes[place[~new]] != hashes[~new]
+        if new.any():
+            number = self._learn([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.hashes, self.number = np.insert(self.hashes, place[new], hashes[new]), np.insert(self.number, place[new], number)
+            place = np.searchsorted(self.hashes, hashes)
+        known = self.number[place][which]
+        ids, begin, sizes = self.ids, self.begin[known], self.length[known]
+        wrong = np.flatnonzero(~same_words(data, starts, ends, self.text, self.at[known], self.end[known]))
+        if len(wrong):
+            alone = [np.array(self.tokenizer.encode(raw[starts[k] : ends[k]].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) for k in wrong]
+            sizes[wrong] = [len(x) for x in alone]
+            begin[wrong] = len(ids) + np.cumsum([0, *sizes[wrong][:-1]])
+            ids = np.concatenate([ids, *alone])
+        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return ids[at], sizes
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each whole text; a null text has none."""
