@@ -20,8 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidyloom.llm.common import map_pandas, narrow
+from tidyloom.llm.common import column, map_pandas
 from tidyloom.llm.tokenizing import word_cache
 
 MAX_TOKENS, MAX_SEGMENTS, OPEN = 4096, 64, 48
@@ -144,16 +145,19 @@ class Packer:
 def pack(
     df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
     tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int | None = None, end_id: int = END_ID,
+    prompt_col: str | None = None,
 ) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, segment, loss_tokens)``, a row for each piece.
 
-    A document is its ids and the end id, all of which bear loss. A null or empty text is the end id alone.
+    A document is its ids and the end id, all of which bear loss. With ``prompt_col`` the ids of that text stand in
+    front of it and bear no loss (instruction data); a null prompt has none. A null or empty text is the end id alone.
     Every row is a document, whether or not its identifier is null or repeated. Sequences are numbered
     within a task (the task's number stands in the upper bits), so a task that is run again gives the
     same rows if it reads the same, as it does from files. An empty table gives no rows. Other columns
     are not read.
     """
-    rows = narrow(df, id_col, text_col)
+    prompt = F.lit(None).cast("string") if prompt_col is None else column(prompt_col)
+    rows = df.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), prompt.alias("prompt"))
     kind = dict(rows.dtypes)["doc_id"]
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens"]
 
@@ -178,8 +182,9 @@ def pack(
 
         end = np.array([end_id], np.uint32)
         for b in batches:
-            for i, ids in zip(b["doc_id"], cache.encode(list(b["text"])), strict=True):
-                take(packer.add(Example(None if pd.isna(i) else i, np.append(ids, end))))
+            for i, before, ids in zip(b["doc_id"], cache.encode(list(b["prompt"])), cache.encode(list(b["text"])), strict=True):
+                loss_flags = np.append(np.zeros(len(before), bool), np.ones(len(ids) + 1, bool)) if len(before) else None
+                take(packer.add(Example(None if pd.isna(i) else i, np.concatenate([before, ids, end]), loss_flags)))
             if out:
                 yield rows_out()
         take(packer.finish())
