@@ -10,8 +10,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidyloom.names import HIDDEN
 from tidyloom.session import checkpoint_dir, cut
 
 #: Bytes and rows of one Arrow batch, so that a worker's memory does not depend on the lengths of texts.
@@ -70,11 +72,12 @@ def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def stratified(
     df: DataFrame, id_col: str, label_col: str, per_label: int, max_labels: int = 64, exact: bool = False, seed: int = 7
 ) -> DataFrame:
-    """About ``per_label`` rows of each of the ``max_labels`` most frequent labels, chosen by a hash of the identifier.
+    """About ``per_label`` rows of each of the ``max_labels`` most frequent labels, chosen by a hash of the row.
 
-    The choice depends on the identifiers only, so a repeated run takes the same rows. A draw from rows
-    that were drawn before needs another ``seed``: with the same, all of them have passed already. At most
-    ``2 * per_label * max_labels`` rows remain however large the input is.
+    The choice depends on the rows only (not on their order or number), so a repeated run takes the same. A draw
+    from rows that were drawn before needs another ``seed``: with the same, all of them have passed already. No
+    label gets more than ``2 * per_label`` rows, however often rows or identifiers repeat, and none is
+    crowded out by another; of more, those with the least hashes stay.
     """
     known = df.where(column(label_col).isNotNull() & column(id_col).isNotNull())
     counts = known.groupBy(column(label_col).alias("label")).count()
@@ -82,8 +85,11 @@ def stratified(
     if not counts:
         return df.limit(0)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, per_label / r["count"]))])
-    draw = F.pmod(F.xxhash64(column(id_col), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return known.where(draw < share[column(label_col)])
+    number, rank = HIDDEN + "number", HIDDEN + "rank"
+    hashed = known.withColumn(number, F.xxhash64(*[column(c) for c in known.columns], F.lit(seed)))
+    drawn = hashed.where(F.pmod(F.col(number), F.lit(1 << 20)) / F.lit(float(1 << 20)) < share[column(label_col)])
+    order = W.partitionBy(column(label_col)).orderBy(number)
+    return drawn.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= 2 * per_label).drop(number, rank)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int) -> DataFrame:
@@ -101,12 +107,13 @@ def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], weight: st
     """Inner join where ``right`` has one row per key and ``weight``, the number of left rows of that key.
 
     Keys with more than 1/``parts`` of all left rows, of which there can be at most ``parts``, are
-    joined without a shuffle; in the rest no key can fill a task.
+    broadcast, and their left rows are taken out before the rest is shuffled, in which no key can fill a task.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
-    hot = right.where(F.col(weight) > total / parts)
+    hot = F.broadcast(right.where(F.col(weight) > total / parts))
     rest = right.where(F.col(weight) <= total / parts)
-    return left.join(F.broadcast(hot), key).unionByName(left.join(rest, key))
+    keys = [key] if isinstance(key, str) else key
+    return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(*keys)), key, "left_anti").join(rest, key))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
