@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidyloom.llm.common import column, sized
+from tidyloom.names import HIDDEN, require_free
 from tidyloom.session import cut
 
 WINDOW = 10
@@ -198,7 +199,9 @@ def proximity_matches(index: Index, item_rows: DataFrame, slack: int = 5, window
 
 
 def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any hit, told apart by identifier and text."""
-    hit = sized(found.where("contaminated").select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct())
-    same = column(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(column(text_col)) == F.col("__hit_key"))
+    """The rows of ``docs`` without any hit, told apart by identifier and text. Reserved column names raise."""
+    require_free(docs.columns)
+    row, key = HIDDEN + "hit_id", HIDDEN + "hit_key"
+    hit = sized(found.where("contaminated").select(F.col("doc_id").alias(row), F.col("text_key").alias(key)).distinct())
+    same = column(id_col).eqNullSafe(F.col(row)) & (F.xxhash64(column(text_col)) == F.col(key))
     return docs.join(hit, same, "left_anti")

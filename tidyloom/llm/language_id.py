@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.llm.common import batches, column, fold, map_pandas, narrow, stratified
+from tidyloom.names import HIDDEN as RESERVED
+from tidyloom.names import require_free
 
 CHUNK, HIDDEN, ROWS = 128, 8, 2048
 #: Bounds of the training sample: documents of a language, windows of a document, bytes of a window.
@@ -232,7 +234,13 @@ def learn_and_identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: dict[str, Any] | None, least: float = 0.0, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a recognized language of at least that score, which replaces the one given; all columns stay."""
+    """The rows of ``docs`` with a recognized language of at least that score, which replaces the one given; all columns stay.
+
+    Rows are judged one by one: repeated rows all stay or all go, whatever their identifiers. Null texts, and
+    those without letters, go. An empty table stays empty. Reserved column names raise.
+    """
+    require_free(docs.columns)
+    found_as = F.col(RESERVED + "found")
 
     @F.pandas_udf("lang string, score double")
     def found(texts: pd.Series) -> pd.DataFrame:
@@ -241,6 +249,6 @@ def keep_identified(docs: DataFrame, model: dict[str, Any] | None, least: float
 
     batches(docs.sparkSession)
     # Declared non-deterministic, as a filter on it would otherwise be moved in front and evaluate it a second time.
-    named = docs.withColumn("__found", found.asNondeterministic()(column(text_col)))
-    kept = named.where((F.col("__found.lang") != UNDETERMINED) & (F.col("__found.score") >= least))
-    return kept.withColumn(lang_col, F.col("__found.lang")).select(*[column(c) for c in docs.columns])
+    named = docs.withColumn(RESERVED + "found", found.asNondeterministic()(column(text_col)))
+    kept = named.where((found_as["lang"] != UNDETERMINED) & (found_as["score"] >= least))
+    return kept.withColumn(lang_col, found_as["lang"]).select(*[column(c) for c in docs.columns])

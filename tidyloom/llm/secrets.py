@@ -2,9 +2,10 @@
 
 Detectors find candidates in whole texts. The corpus then tells how widely each candidate is used: its
 hash is counted by distinct repositories and distinct owners. What stands in many owners' texts is a
-copied example; what only one owner has is likely a live credential. Candidates of the open detector
-(long mixed strings without a keyword) are reported only if they are of one owner; the base kinds
-are always reported, with their ownership.
+copied example, and so is what stands in very many repositories of one; what only one owner has, in few
+repositories, is likely a live credential. What lies between is neither, and is reported. Candidates of the
+open detector (long mixed strings without a keyword) are left out if they are copied; the base
+kinds are always reported, with their ownership.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.llm.common import column, join_hot, map_pandas
+from tidyloom.names import HIDDEN, require_free
 from tidyloom.session import cut
 
 #: Base kinds in the order of the report, with the least length: fixed values.
@@ -29,8 +31,8 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS, LEAST = ["assign", "access", "hex", "mixed"], {"assign": 12, "access": 18, "hex": 16}
 #: The open detector: length, and bits a character.
 MIXED, MIXED_LENGTH, MIXED_BITS = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.0
-#: Owners from which on a candidate counts as widely copied.
-WIDE = 3
+#: Owners, or repositories, from which on a candidate counts as widely copied.
+WIDE, WIDE_REPOSITORIES = 3, 50
 
 Span = tuple[str, int, int, str]
 
@@ -106,15 +108,16 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """``(doc_id, text_key, found)`` of each row: a hash of its text and its spans in order, with ``repositories``, ``owners`` and ``live`` of each.
 
-    ``live`` holds for secrets of at most one owner, ``copied`` for those of at least ``WIDE``. Spans of the open
-    detector are left out unless they are live. Null and empty texts have no spans; repeated rows are each reported
+    ``copied`` holds for secrets of at least ``WIDE`` owners or ``WIDE_REPOSITORIES`` repositories, ``live`` for those of
+    at most one owner that are not copied. Spans of the open detector are left out if they are copied. Null and empty texts have no spans; repeated rows are each reported
     (and count as one repository); a null identifier is passed on. Other columns are not read.
     """
     found = cut(candidates(df, id_col, text_col, repository_col, owner_col))
     owned = cut(ownership(found))
     spans = found.where("size(spans) > 0").select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    joined = join_hot(spans, owned, "secret", "uses").withColumn("live", F.col("owners") <= 1).withColumn("copied", F.col("owners") >= WIDE)
-    joined = joined.where("kind <> 'mixed' or live")
+    joined = join_hot(spans, owned, "secret", "uses")
+    joined = joined.withColumn("copied", (F.col("owners") >= WIDE) | (F.col("repositories") >= WIDE_REPOSITORIES))
+    joined = joined.withColumn("live", (F.col("owners") <= 1) & ~F.col("copied")).where("kind <> 'mixed' or not copied")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     fields = ["start", "rank", "end", "kind", "repositories", "owners", "live", "copied"]
     each = joined.withColumn("rank", rank).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("found"))
@@ -144,19 +147,25 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``docs`` with every found span replaced by ``[SECRET]``; overlapping spans become one."""
+    """``docs`` with every found span replaced by ``[SECRET]``; overlapping spans become one.
+
+    Rows are told apart by identifier and text; repeated rows are all changed alike. Texts without spans, null
+    and empty ones stay as they are, and so does an empty table. Reserved column names raise.
+    """
+    require_free(docs.columns)
+    row, text_key, span = (HIDDEN + x for x in ("id", "key", "spans"))
     spans = scanned.where("size(found) > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"),
-        F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans"),
+        F.col("doc_id").alias(row), F.col("text_key").alias(text_key),
+        F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(span),
     )
-    spans = cut(spans.dropDuplicates(["__id", "__key"]))
-    same = column(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(column(text_col)) == F.col("__key"))
+    spans = cut(spans.dropDuplicates([row, text_key]))
+    same = column(id_col).eqNullSafe(F.col(row)) & (F.xxhash64(column(text_col)) == F.col(text_key))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([replaced(t, [(s["start"], s["end"]) for s in found]) for t, found in zip(texts, spans, strict=True)], dtype=object)
 
-    changed = docs.join(spans, same).withColumn(text_col, without(column(text_col), F.col("__spans")))
+    changed = docs.join(spans, same).withColumn(text_col, without(column(text_col), F.col(span)))
     if length_col in docs.columns:
         changed = changed.withColumn(length_col, F.length(column(text_col)).cast(docs.schema[length_col].dataType))
     return docs.join(spans, same, "left_anti").unionByName(changed.select(*[column(c) for c in docs.columns]))

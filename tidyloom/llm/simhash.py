@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidyloom.llm.common import column, join_hot, map_pandas, narrow, sized
 from tidyloom.llm.components import smallest_members
+from tidyloom.names import HIDDEN, require_free
 from tidyloom.session import cut
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -33,6 +34,7 @@ WORDS, SEED, RADIUS = 3, 42, 3
 PIVOTS = [(k * 0x9E3779B97F4A7C15) % (1 << 64) for k in range(1, 17)]
 #: Bit ranges of the five stretches.
 STRETCHES = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
+_ID, _KEY, _COPIES = (HIDDEN + x for x in ("kept_id", "kept_key", "copies"))
 #: Shingles counted at once.
 SLICE = 1 << 15
 
@@ -143,12 +145,13 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     """One row of ``docs`` of each group: of those with the smallest identifier, that with the smallest hash of its text.
 
     A group of null identifiers only keeps one of them. Of rows with equal identifiers and texts one is
-    taken, whatever their other columns hold.
+    taken, whatever their other columns hold. Reserved column names raise.
     """
-    kept = found.where("kept").groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key"))
-    kept = cut(kept.agg(F.count("*").alias("__copies")))
+    require_free(docs.columns)
+    kept = found.where("kept").groupBy(F.col("doc_id").alias(_ID), F.col("text_key").alias(_KEY))
+    kept = cut(kept.agg(F.count("*").alias(_COPIES)))
     key = F.xxhash64(column(text_col))
-    same = column(id_col).eqNullSafe(F.col("__kept_id")) & (key == F.col("__kept_key"))
-    single = docs.join(kept.where("__copies = 1"), same, "left_semi")
-    repeated = docs.join(sized(kept.where("__copies > 1")), same).dropDuplicates(["__kept_id", "__kept_key"])
+    same = column(id_col).eqNullSafe(F.col(_ID)) & (key == F.col(_KEY))
+    single = docs.join(kept.where(F.col(_COPIES) == 1), same, "left_semi")
+    repeated = docs.join(sized(kept.where(F.col(_COPIES) > 1)), same).dropDuplicates([_ID, _KEY])
     return single.unionByName(repeated.select(*[column(c) for c in docs.columns]))
