@@ -1,8 +1,11 @@
 """Cell functions against tables of examples and against plain Python."""
 
 import datetime
+import math
 import random
 import re
+import sys
+from decimal import Decimal
 
 import pytest
 
@@ -267,6 +270,37 @@ def test_money_keeps_the_digits_of_large_numbers(column):
         assert got == [f"{n:,.{places}f}" for n in numbers]
 
 
+def spelled(n):
+    """A decimal spelling of a double without an exponent."""
+    text = repr(n)
+    return text if "e" not in text else f"{Decimal(text):f}"
+
+
+def test_money_of_any_size(column):
+    rng = random.Random(5)
+    numbers = [rng.choice([1, -1]) * rng.uniform(1, 10) * 10.0 ** rng.randint(30, 307) for _ in range(400)]
+    numbers += [s * 2.0**k for k in range(120, 1024, 7) for s in (1, -1)]
+    numbers += [2.0**125, -(2.0**125), sys.float_info.max, math.nextafter(2.0**125, 0), math.nextafter(2.0**125, math.inf)]
+    for places in (0, 2, 7):
+        got = column([spelled(n) for n in numbers], lambda c, p=places: clean_currency(c, "", p))
+        assert got == [f"{n:,.{places}f}" for n in numbers]
+    assert column(["1" + "0" * 400], lambda c: clean_currency(c, "", 0)) == ["∞"]
+    plain = column([spelled(n) for n in numbers], lambda c: clean_currency(c, "$", 0, thousands_separator=False))
+    assert plain == [f"${n:.0f}" for n in numbers]
+
+
+@pytest.mark.parametrize("places", [6, 9, 12, 18, 20])
+def test_money_with_many_places(column, places):
+    """Every double is rounded from its exact value, ties to even; places beyond the eighteenth are zeros."""
+    rng = random.Random(places)
+    numbers = [rng.choice([1, -1]) * rng.uniform(0, 10) * 10.0 ** rng.randint(-25, 18) for _ in range(800)]
+    numbers += [s * n / 2**k for k in (1, 7, 13, 19, 40) for n in (1, 3, 2**33 + 1) for s in (1, -1)]  # ties among them
+    numbers += [0.0, 5e-324, 2.5e-19, 5e-19, 1.5e-18, 2.0**34 - 2.0**-18, 2.0**34]
+    exact = min(places, 18)
+    got = column([spelled(n) for n in numbers], lambda c: clean_currency(c, "", places))
+    assert got == [f"{n:,.{exact}f}" + "0" * (places - exact) for n in numbers]
+
+
 def test_long_cells_take_linear_time(column):
     """Cells that make a backtracking pattern quadratic, or exhaust its stack."""
     n = 200_000
