@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tidyloom.names import SCOPE, drop_hidden
+from tidyloom.operators import fill as fill_module
 from tidyloom.operators import order
 from tidyloom.operators.fill import fill_directional
 from tidyloom.operators.order import attach_key_order
@@ -46,8 +47,8 @@ def sparse_cells(rng, n):
 
 @pytest.fixture
 def small_groups(monkeypatch):
-    """Several chunks per group and several groups, even on a small table."""
-    monkeypatch.setattr(order, "GROUP_BITS", 2)
+    """Several chunks in a range and several levels of ranges, even on a small table."""
+    monkeypatch.setattr(fill_module, "TOP_ROWS", 3)
 
 
 @pytest.mark.parametrize("limit", LIMITS)

@@ -4,8 +4,12 @@ import re
 
 import pytest
 
+from tidyloom.operators import fill
+from tidyloom.operators.fill import fill_directional
 from tidyloom.operators.order import attach_key_order
 from tidyloom.plans.clean import clean
+from tidyloom.session import cut
+from tidyloom.sources.readers import load
 from workload.queries import queries
 
 SF = "/root/testdata/sf0.001"
@@ -49,26 +53,48 @@ def test_duplicates_take_one_shuffle_after_a_map_side_reduction(spark, plan, nam
     assert "Window" not in text and "Join" not in text
 
 
-@pytest.mark.parametrize(
-    "name, tables", [("ffill", 1), ("bfill", 1), ("fill_both", 1), ("ffill_limit", 2), ("fill_both_limit", 2)]
-)
-def test_how_often_a_fill_shuffles_the_table(spark, plan, name, tables):
-    """Once for the windows; a limit counts rows in a second branch. The rest are summaries of chunks."""
+FILLS = ["ffill", "bfill", "fill_both", "ffill_limit", "fill_both_limit"]
+
+
+@pytest.mark.parametrize("name", FILLS)
+def test_a_fill_shuffles_the_table_once(spark, plan, name):
+    """For the windows. The summaries of chunks were solved before; they are read from one small table."""
     text = plan(queries()[name](spark, SF))
-    lines = text.split("\n")
-    full = 0
-    for i, line in enumerate(lines):
-        if re.search(r"(?<!Reused)Exchange hashpartitioning", line):
-            full += "Project" in lines[i + 1] and not re.search("__tl_(in|out|start|group)", lines[i + 1])
-    assert full == tables
-    assert text.count("FileScan") == 2
-    # Only the top level of the summaries, one row per thousand chunks, is gathered.
-    single = [part for part in text.split("\n") if "SinglePartition" in part]
-    assert 1 <= len(single) <= 2
-    for line in single:
-        at = text.index(line)
-        assert "Aggregate" in text[at:].split("\n")[1] and "__tl_group0" in text[at:]
-    assert "rangepartitioning" not in text
+    assert exchanges(text).count("hashpartitioning") == 1
+    assert "SinglePartition" not in text and "rangepartitioning" not in text and "SortMergeJoin" not in text
+    assert text.count("FileScan") == 2 and text.count("BroadcastHashJoin") == 1
+
+
+def test_large_summaries_of_a_fill_are_joined_without_another_shuffle(spark, plan, monkeypatch):
+    monkeypatch.setattr(fill, "BROADCAST_BYTES", -1)
+    for name in FILLS:
+        text = plan(queries()[name](spark, SF))
+        tables = [part for part in text.split("Exchange hashpartitioning")[1:] if "events.parquet" in part.split("FileScan")[1]]
+        assert len(tables) == 1 and "SinglePartition" not in text
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_no_window_of_a_fill_grows_with_the_files(spark, tmp_path, monkeypatch, limit):
+    """Each of 400 files is a chunk. What is gathered in one task stays below the bound."""
+    path = str(tmp_path / "many")
+    rows = spark.range(0, 4000, 1, 400).selectExpr("lpad(id, 5, '0') as k", "if(id % 97 = 0, cast(id as string), '') as a")
+    rows.write.parquet(path)
+    monkeypatch.setattr(fill, "TOP_ROWS", 16)
+    gathered = []
+
+    def watched(df):
+        if "SinglePartition" in df._jdf.queryExecution().executedPlan().toString():
+            gathered.append(df.count())
+        return cut(df)
+
+    monkeypatch.setattr(fill, "cut", watched)
+    got = fill_directional(load(spark, path, "parquet"), ["a"], limit=limit)
+    assert gathered and max(gathered) <= 16
+    cells = {int(r["k"]): r["a"] for r in got.collect()}
+    assert len(cells) == 4000
+    for k, a in cells.items():
+        near = k - k % 97
+        assert a == (str(near) if limit is None or k - near <= limit else "")
 
 
 def test_unused_columns_are_not_read(spark, plan):

@@ -28,10 +28,6 @@ from tidyloom.session import cut
 
 # The unit of parallelism of a fill: a task holds whole chunks, so they are kept small.
 CHUNK_ROWS = 1 << 18
-# Chunks per second-level group, and bytes of file per second-level group
-# (1,024 splits of 128 MB).
-GROUP_BITS = 10
-GROUP_BYTES_BITS = 37
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -141,14 +137,6 @@ def with_solid_chunks(df: DataFrame) -> DataFrame:
     )
 
 
-def chunk_group(df: DataFrame) -> list[Column]:
-    """Second level over chunks: contiguous, and about a thousand chunks each."""
-    file = refs(c for c in (FILE,) if c in df.columns)
-    if BLOCK in df.columns:
-        return [*file, F.shiftright(ref(BLOCK), GROUP_BYTES_BITS)]
-    return [*file, F.shiftright(ref(CHUNK), GROUP_BITS)]
-
-
 def position(df: DataFrame) -> Column:
     """The position as one comparable value."""
     columns = position_columns(df)
