@@ -12,6 +12,7 @@ from tidyloom.sources.generator import VALUES, dirty_table
 from tidyloom.sources.headers import normalize_headers
 from tidyloom.sources.readers import csv_headers, format_of, load
 from tidyloom.sources.text_table import to_text_table
+from tidyloom.sources.records import record_account
 from tidyloom.sources.writers import cleaned_name, write
 
 
@@ -351,3 +352,28 @@ def test_null_in_the_order_raises(spark):
     rules = {"missing": {"fillForwardBackward": on(columns=["v"])}}
     with pytest.raises(ValueError, match="null"):
         clean(df, rules, order_by="k")
+
+
+def test_account_of_records(spark, tmp_path):
+    """Short, long and broken records, quoted commas and quotes, files of different widths."""
+    files = {
+        "a.csv": 'id,name\n\n1,"x, y"\n2\n3,"say ""a,b""",z\n,\n',
+        "b.csv": '\n\nid,"na,me",q\r\n1,2,3\r\n"open\r\nclose",2,3\r\n',
+        "c.csv": "",
+        "d.csv": "only\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, newline="")
+    got = {r["file"].rpartition("/")[2]: tuple(r)[1:] for r in record_account(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": (2, 4, 1, 1, 0, 1), "b.csv": (3, 1, 0, 0, 2, 2), "d.csv": (1, 0, 0, 0, 0, 0)}
+    assert record_account(spark, str(tmp_path / "c.csv")).count() == 0
+
+
+def test_account_says_what_reading_pads_and_cuts(spark, tmp_path):
+    lines = ["a,b,c"] + [",".join("x" * (1 + i % 4)) for i in range(200)]
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("\n".join(lines))
+    found = record_account(spark, str(tmp_path)).collect()
+    assert [(r["records"], r["short"], r["long"]) for r in found] == [(200, 100, 50)] * 3
+    table = load(spark, str(tmp_path), "csv")
+    assert table.count() == 600 and table.where("c = ''").count() == 300

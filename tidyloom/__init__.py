@@ -9,6 +9,7 @@ from tidyloom.session import build_session, fit_shuffles, release_cuts
 from tidyloom.sources.batch import Batch, by_source, clean_many, sources_in
 from tidyloom.sources.generator import dirty_table
 from tidyloom.sources.readers import load
+from tidyloom.sources.records import record_account
 from tidyloom.sources.writers import cleaned_name, write
 
 __all__ = [
@@ -30,6 +31,7 @@ __all__ = [
     "preview",
     "preview_document",
     "preview_file",
+    "record_account",
     "release_cuts",
     "shrink_rate",
     "sources_in",

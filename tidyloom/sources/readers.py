@@ -65,7 +65,8 @@ def load(
 
     Several paths of one format are one table. CSV files must have one header, in one order;
     parquet files may have different columns, which are matched by name. ``validate=False``
-    saves the pass over the lines of CSV files that are known to be sound. ``schema`` gives
+    saves the pass over the lines of CSV files that are known to be sound: the first header found is then applied
+    to all of them. ``schema`` gives
     the columns of JSON, which are otherwise inferred from the whole input.
     """
     paths = [path] if isinstance(path, str) else list(path)
@@ -104,7 +105,7 @@ def layouts_of(
 
 def csv_header(spark: SparkSession, path: str, multi_line: bool = False) -> list[str | None]:
     """The raw cells of the first line of a file, or of the first file of a folder that has one."""
-    lines = _lines(spark, [path]).where("block = 0 and value <> ''").orderBy("file", "number")
+    lines = lines_of(spark, [path]).where("block = 0 and value <> ''").orderBy("file", "number")
     return _cells(spark, lines.select("value", "file").head(), multi_line)
 
 
@@ -115,13 +116,14 @@ def csv_headers(
     if not paths:
         return {}
     first = F.expr("min_by(value, number)").alias("value")
-    lines = _lines(spark, paths).where("block = 0 and value <> ''").groupBy("file").agg(first)
+    lines = lines_of(spark, paths).where("block = 0 and value <> ''").groupBy("file").agg(first)
     found = {urlsplit(r["file"]).path: r for r in lines.select("value", "file").collect()}
     by_path = {p: found.get(quote(urlsplit(p).path if "://" in p else p.removeprefix("file:"))) for p in paths}
     return {p: _cells(spark, r, multi_line) for p, r in by_path.items()}
 
 
-def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def lines_of(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(value, file, block, number)`` of each line; the number rises with the lines of a split."""
     number = F.monotonically_increasing_id().alias("number")
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start")]
     return spark.read.text(list(paths)).select("value", place[0], place[1].alias("block"), number)
@@ -148,7 +150,7 @@ def _inspect(spark: SparkSession, paths: Sequence[str], multi_line: bool) -> tup
     first = F.expr("min_by(value, number) filter (where block = 0 and value <> '')")
     # Quotes come in pairs within a record, so an odd line is part of a longer one.
     odd = F.count_if(F.length("value") % 2 != F.length(F.replace("value", F.lit('"'))) % 2)
-    files = _lines(spark, paths).groupBy("file").agg(
+    files = lines_of(spark, paths).groupBy("file").agg(
         F.regexp_replace(first, "^\ufeff", "").alias("header"), odd.alias("odd")
     )
     files = files.where("header is not null")

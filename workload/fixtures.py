@@ -139,6 +139,20 @@ LARGE = View(
     },
 )
 
+# Digits up to 10^38, and the powers of two where the way of printing changes.
+BOUND = View(
+    "orders",
+    "o_orderkey",
+    {
+        "id": "o_orderkey",
+        "price": (
+            "case when o_orderkey % 3 = 0 then '-' else '' end || case o_orderkey % 5"
+            " when 0 then '42535295865117307932921825928971026432' when 1 then '4611686018427387904'"
+            " else cast(1 + o_orderkey % 977 as string) || repeat('3', cast(o_orderkey % 35 as int)) end"
+        ),
+    },
+)
+
 EVENTS = View(
     "events",
     "event_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload.fixtures import CUSTOMER, DOCUMENTS, EVENTS, LARGE, LINEITEM, ORDERS, View
+from workload.fixtures import CUSTOMER, DOCUMENTS, EVENTS, BOUND, LARGE, LINEITEM, ORDERS, View
 
 
 # The code points with the Unicode property White_Space.
@@ -257,6 +257,8 @@ FROM supplier"""
 
 
 def oracle_sql() -> dict[str, str]:
+    from workload import file_oracles  # it uses the helpers of this module
+
     all_text = {c: _trim(_q(c)) for c in _CUSTOMER_COLUMNS}
     some_blank = " AND ".join(f"NOT {_blank(c)}" for c in ("name", "segment", "phone"))
     any_value = " OR ".join(f"NOT {_blank(c)}" for c in ("name", "segment", "phone"))
@@ -397,4 +399,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_full": _full(),
         "clean_many": _many(),
         "generated_dirty_table": _generated(),
+        "currency_9dp": _over(ORDERS, {"price": _money("price", 9)}, ["id", "price"]),
+        "currency_bound": _over(BOUND, {"price": _money("price")}),
+        **file_oracles.oracle_sql(),
     }

@@ -20,7 +20,8 @@ from tidyloom.sources.generator import dirty_table
 from tidyloom.session import checkpoint_dir
 from tidyloom.sources.readers import load
 from tidyloom.sources.writers import write
-from workload.fixtures import CUSTOMER, DOCUMENTS, EVENTS, LARGE, LINEITEM, ORDERS, View
+from workload import file_queries
+from workload.fixtures import CUSTOMER, DOCUMENTS, EVENTS, BOUND, LARGE, LINEITEM, ORDERS, View
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -505,4 +506,7 @@ def queries() -> dict[str, Query]:
         "clean_full": _query(ORDERS, FULL_RULES, ordered=True),
         "clean_many": _many,
         "generated_dirty_table": _generated,
+        "currency_9dp": _query(ORDERS, _format(currency={"columns": ["price"], "decimalPlaces": 9}), ["id", "price"]),
+        "currency_bound": _query(BOUND, _format(currency={"columns": ["price"]})),
+        **file_queries.queries(),
     }
