@@ -4,9 +4,10 @@ import random
 
 import pytest
 
-from tidyloom.names import SCOPE
+from tidyloom.names import FILE, SCOPE
 from tidyloom.operators.dedup import dedup_rows
-from tidyloom.operators.order import attach_key_order
+from tidyloom.operators.order import attach_key_order, in_order
+from tidyloom.sources.readers import load
 
 
 def expected(rows, key, keep):
@@ -90,3 +91,16 @@ def test_scopes_do_not_mix(spark):
 def test_needs_an_order(text):
     with pytest.raises(ValueError, match="order"):
         dedup_rows(text(["a"], [("x",)]), "byColumns", ["a"], "first")
+
+
+def test_whole_rows_from_files_are_reduced_by_hash(spark, tmp_path):
+    """The position is one number of fixed width, so no task sorts its rows; the right row stays."""
+    for k, cells in enumerate(["a\nb\na\n", "b\nc\na\n", "c\nd\n"]):
+        (tmp_path / f"{k}.csv").write_text("v\n" + cells)
+    table = load(spark, str(tmp_path), "csv")
+    for keep, want in (("first", [("a", 0), ("b", 0), ("c", 1), ("d", 2)]), ("last", [("b", 1), ("a", 1), ("c", 2), ("d", 2)])):
+        kept = dedup_rows(table, keep=keep)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+        assert kept.columns == table.columns
+        assert [(r["v"], r[FILE]) for r in in_order(kept).collect()] == want

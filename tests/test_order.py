@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidyloom.names import CHUNK
+from tidyloom.names import CHUNK, FILE, ref
 from tidyloom.operators import order
-from tidyloom.operators.order import attach_file_order, attach_key_order, in_order
+from tidyloom.operators.order import attach_file_order, attach_key_order, in_order, packed, unpacked
 from tidyloom.session import cut
+from tidyloom.sources.readers import load
 
 
 def test_even_keys_need_no_shuffle(text):
@@ -71,3 +72,23 @@ def test_parquet_rows_are_numbered_by_the_file(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "p"))
     df = attach_file_order(spark.read.parquet(str(tmp_path / "p")))
     assert [r["id"] for r in in_order(df.repartition(5)).collect()] == list(range(100))
+
+
+@pytest.mark.parametrize("few", [32, 1])
+def test_files_are_numbered_in_the_order_of_their_paths(spark, tmp_path, monkeypatch, few):
+    """Odd names, a constant of the plan or a join; positions survive packing."""
+    monkeypatch.setattr(order, "FEW_FILES", few)
+    names = ["a b.csv", "a%20b.csv", "ä.csv", "z+1.csv", "b#2.csv"]
+    for name in names:
+        (tmp_path / name).write_text("x,f\n" + "\n".join(f"{i},{name}" for i in range(50)))
+    df = load(spark, str(tmp_path), "csv")
+    assert ("Join" in df._jdf.queryExecution().optimizedPlan().toString()) == (few == 1)
+    place = packed(df)
+    back = df.withColumn("p", place).select("x", "f", FILE, *[(ref(c) == e).alias(f"ok{i}") for i, (c, e) in enumerate(unpacked(df, F.col("p")).items())])
+    rows = back.collect()
+    assert len(rows) == 250 and all(all(v for k, v in r.asDict().items() if k.startswith("ok")) for r in rows)
+    numbers = {(r["f"], r[FILE]) for r in rows}
+    assert len(numbers) == 5 and {n for _, n in numbers} == set(range(5))
+    ordered = df.withColumn("p", place).orderBy("p").collect()
+    assert [(r["f"], r["x"]) for r in ordered] == [(r["f"], r["x"]) for r in in_order(df).collect()]
+    assert [int(r["x"]) for r in ordered] == list(range(50)) * 5

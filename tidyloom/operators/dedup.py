@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidyloom.functions.text import comparable
-from tidyloom.names import CHUNK, HIDDEN, ROW, data_columns, known, ref, refs, scope_of
-from tidyloom.operators.order import position, require_order
+from tidyloom.names import BLOCK, CHUNK, FILE, HIDDEN, ROW, data_columns, known, ref, refs, scope_of
+from tidyloom.operators.order import packed, position, require_order, unpacked
 
 _PICK = HIDDEN + "pick"
 _COUNT = HIDDEN + "count"
@@ -52,6 +52,10 @@ def dedup_rows(
         # so both can be reduced on their own, in a hash aggregation.
         best = F.max if keep == "last" else F.min
         picks = {c: best(ref(c)) for c in rest}
+    elif rest and set(rest) <= {FILE, BLOCK, ROW, CHUNK} and all(_is_number(df, c) for c in rest):
+        # Whole rows from files: the position is one number, again in a hash aggregation.
+        best = F.max if keep == "last" else F.min
+        picks = {_PICK: best(packed(df))}
     elif rest:
         row = _pick(df, rest, keep)
         picks = {_PICK: row}
@@ -67,6 +71,9 @@ def dedup_rows(
         kept = grouped.groupBy(*refs(names)).agg(*[e.alias(n) for n, e in picks.items()])
     if keep == "none":
         kept = kept.where(ref(_COUNT) == 1)
+    if rest and _PICK in picks and not isinstance(kept.schema[_PICK].dataType, T.StructType):
+        place = unpacked(df, ref(_PICK))
+        return kept.select([place[c].alias(c) if c in place else ref(c) for c in df.columns])
     return kept.select(
         [ref(_PICK)[c].alias(c) if c in rest and c not in picks else ref(c) for c in df.columns]
     )

@@ -5,10 +5,13 @@ of bounded size. The position is attached once, next to the source, as hidden
 columns:
 
 * parquet files: (file, number of the row in it);
-* other files: (file, start of the split, running number within the scan). The number
+* other files: (file, start of the split, running number within the task). The number
   counts up inside a split, so this is the order of the rows in the files;
 * a given ``order_by``: a unique key of the table.
 
+Files are numbered in the order of their paths, from the listing that the scan has made anyway.
+All parts of a position are thus whole numbers, and fit together in one of fixed width (``packed``).
+
 A chunk is a contiguous run of at most ``CHUNK_ROWS`` rows. Nothing here shuffles,
 except for keys that are neither integers nor evenly spread: those are sorted once
 and the sorted table is written to the checkpoint folder, since the bounds of a
@@ -18,17 +21,25 @@ range partitioning may change when it is evaluated again.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidyloom.names import BLOCK, CHUNK, FILE, ROW, ref, refs, scope_of
+from tidyloom.names import BLOCK, CHUNK, FILE, HIDDEN, ROW, ref, refs, scope_of
 from tidyloom.session import cut
 
 # The unit of parallelism of a fill: a task holds whole chunks, so they are kept small.
 CHUNK_ROWS = 1 << 18
 
+# Files whose numbers are a constant of the plan, and bytes of their paths that are broadcast.
+FEW_FILES, LISTING_BYTES = 32, 64 << 20
+
+# Decimal places of a packed position: 10 for the row (a task has at most 2^33), 15 for the byte at which its split starts.
+_WIDE = "decimal(38,0)"
+_UNITS = {FILE: 10**25, BLOCK: 10**10, ROW: 1}
+
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -41,18 +52,44 @@ def _numbers_rows(df: DataFrame) -> bool:
     return "row_index" in df.select("_metadata").schema["_metadata"].dataType.fieldNames()
 
 
-def attach_file_order(df: DataFrame) -> DataFrame:
-    """Position from the scan itself. ``df`` must come straight from a file source."""
+def attach_file_order(df: DataFrame, by_path: bool = False) -> DataFrame:
+    """Position from the scan itself. ``df`` must come straight from a file source.
+
+    With ``by_path``, ``FILE`` is the path of the file instead of its number.
+    """
     position = {FILE: F.col("_metadata.file_path")}
     if _numbers_rows(df):
         position[ROW] = F.col("_metadata.row_index")
     else:
         position[BLOCK] = F.col("_metadata.file_block_start")
-        position[ROW] = F.monotonically_increasing_id()
+        position[ROW] = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ordered = df.select("*", *[e.alias(c) for c, e in position.items()])
+    if not by_path:
+        ordered = _numbered(ordered, sorted(set(df.inputFiles())))
     return ordered.withColumn(CHUNK, _chunk_of(ref(ROW), CHUNK_ROWS))
 
 
+def _numbered(df: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Replace the path of each row's file by its number.
+
+    A few paths are looked up in a constant, which is pruned where no rule needs the order.
+    """
+    unknown = F.raise_error(F.concat(F.lit("a file that was not listed: "), ref(FILE))).cast("bigint")
+    if len(paths) <= 1:
+        return df.withColumn(FILE, F.lit(0).cast("bigint"))
+    # A listing writes local paths with three slashes, a row's file with one.
+    named = {spelled: k for k, p in enumerate(paths) for spelled in (p, p.replace("file:///", "file:/", 1))}
+    if len(paths) <= FEW_FILES:
+        number = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])[ref(FILE)].cast("bigint")
+        return df.withColumn(FILE, F.coalesce(number, unknown))
+    path, number = HIDDEN + "path", HIDDEN + "number"
+    table = df.sparkSession.createDataFrame(list(named.items()), f"{path} string, {number} bigint")
+    if sum(map(len, paths)) <= LISTING_BYTES:
+        table = F.broadcast(table)
+    joined = df.join(table, ref(FILE) == ref(path), "left")
+    return joined.withColumn(FILE, F.coalesce(ref(number), unknown)).drop(path, number)
+
+
 def depends_on_splits(df: DataFrame) -> bool:
     """Whether another scan of the same files may cut them into other chunks.
 
@@ -137,6 +174,30 @@ def with_solid_chunks(df: DataFrame) -> DataFrame:
     )
 
 
+def packed(df: DataFrame) -> Column:
+    """The position as one number of fixed width, of which an aggregation can keep the least or the largest in place."""
+    columns = [c for c in (FILE, BLOCK, ROW) if c in df.columns]
+    if columns == [ROW]:
+        return ref(ROW)
+    parts = [ref(c).cast(_WIDE) * F.lit(str(_UNITS[c])).cast(_WIDE) for c in columns]
+    return reduce(lambda a, b: a + b, [p.cast(_WIDE) for p in parts]).cast(_WIDE)
+
+
+def unpacked(df: DataFrame, value: Column) -> dict[str, Column]:
+    """The hidden columns of the row with that packed position."""
+    if not {FILE, BLOCK} & set(df.columns):
+        row = {ROW: value}
+    else:
+        units = {c: F.lit(str(_UNITS[c])).cast(_WIDE) for c in (FILE, BLOCK)}
+        rest = value % units[FILE]
+        row = {
+            FILE: F.floor((value - rest) / units[FILE]).cast("bigint"),
+            BLOCK: F.floor((rest - rest % units[BLOCK]) / units[BLOCK]).cast("bigint"),
+            ROW: (rest % units[BLOCK] if BLOCK in df.columns else rest).cast("bigint"),
+        }
+    return {c: e for c, e in (row | {CHUNK: _chunk_of(row[ROW], CHUNK_ROWS)}).items() if c in df.columns}
+
+
 def position(df: DataFrame) -> Column:
     """The position as one comparable value."""
     columns = position_columns(df)

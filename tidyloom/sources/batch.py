@@ -63,7 +63,7 @@ def clean_many(
 def _clean_group(
     spark: SparkSession, paths: Sequence[str], fmt: str, rules: CleaningRules, multi_line: bool
 ) -> CleanResult:
-    table = load(spark, paths, fmt, multi_line=multi_line)
+    table = load(spark, paths, fmt, multi_line=multi_line, by_path=True)
     return clean(table.withColumnRenamed(FILE, SCOPE), rules)
 
 

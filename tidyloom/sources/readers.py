@@ -60,19 +60,20 @@ def load(
     header_style: str = "native",
     validate: bool = True,
     schema: T.StructType | str | None = None,
+    by_path: bool = False,
 ) -> DataFrame:
     """A text table from one source. Files carry their row order; tables need ``order_by``.
 
     Several paths of one format are one table. CSV files must have one header, in one order;
     parquet files may have different columns, which are matched by name. ``validate=False``
-    saves the pass over the lines of CSV files that are known to be sound: the first header found is then applied
-    to all of them. ``schema`` gives
-    the columns of JSON, which are otherwise inferred from the whole input.
+    saves the pass over the lines of CSV files that are known to be sound: the first header found is
+    then applied to all of them. ``schema`` gives the columns of JSON, which are otherwise inferred
+    from the whole input. ``by_path`` marks rows with the path of their file instead of its number.
     """
     paths = [path] if isinstance(path, str) else list(path)
     fmt = fmt.lower() if fmt else format_of(paths[0])
     if fmt == "csv":
-        return _read_csv(spark, paths, multi_line, header_style, validate)
+        return _read_csv(spark, paths, multi_line, header_style, validate, by_path)
     if fmt == "parquet":
         scan = spark.read.option("mergeSchema", True).parquet(*paths)
     elif fmt == "json":
@@ -83,7 +84,7 @@ def load(
     else:
         raise ValueError(f"unsupported format: {fmt}")
     require_free(scan.columns)
-    return to_text_table(scan if fmt == "table" else attach_file_order(scan))
+    return to_text_table(scan if fmt == "table" else attach_file_order(scan, by_path))
 
 
 def layouts_of(
@@ -170,7 +171,7 @@ def _inspect(spark: SparkSession, paths: Sequence[str], multi_line: bool) -> tup
 
 
 def _read_csv(
-    spark: SparkSession, paths: Sequence[str], multi_line: bool, header_style: str, validate: bool
+    spark: SparkSession, paths: Sequence[str], multi_line: bool, header_style: str, validate: bool, by_path: bool
 ) -> DataFrame:
     if validate:
         cells = _cells(spark, _inspect(spark, paths, multi_line), multi_line)
@@ -184,4 +185,4 @@ def _read_csv(
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     reader = spark.read.options(**_CSV_OPTIONS).option("multiLine", multi_line)
     scan = reader.option("header", True).schema(schema).csv(list(paths))
-    return to_text_table(attach_file_order(scan))
+    return to_text_table(attach_file_order(scan, by_path))
