@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidyloom.names import data_columns
 from tidyloom.operators.columns import (
@@ -95,3 +96,18 @@ def test_hidden_columns_stay_hidden(text):
     table = text(["a", "b"], [("1", "2")]).withColumnRenamed("k", "__tl_row")
     assert data_columns(rename_columns(table, [{"from": "a", "to": "c"}])[0]) == ["c", "b"]
     assert "__tl_row" in remove_empty_columns(table)[0].columns
+
+
+@pytest.mark.parametrize("condition", ["all", "any"])
+def test_columns_that_the_first_rows_decide_are_not_evaluated_in_full(spark, condition):
+    """A cell far down that cannot be evaluated is never met; what the first rows leave open is decided by all rows."""
+    far = F.col("id") >= 50_000
+    first, late = ("x", "") if condition == "all" else ("", "x")
+    df = spark.range(0, 60_000, 1, 3).select(
+        F.when(far, F.raise_error(F.lit("evaluated"))).otherwise(F.lit(first)).alias("decided"),
+        F.when(far, F.lit(first)).otherwise(F.lit(late)).alias("late"),
+        F.lit(late).alias("never"),
+    )
+    want = ["never"] if condition == "all" else ["decided", "late"]
+    assert empty_columns(df, condition) == want
+    assert empty_columns(df.limit(0), condition) == (df.columns if condition == "all" else [])

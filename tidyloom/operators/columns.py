@@ -15,6 +15,9 @@ from tidyloom.functions.whitespace import WHITE_SPACE, is_blank, split_ws, unles
 from tidyloom.names import data_columns, hidden_columns, known, ref, refs, require_free
 from tidyloom.operators.cells import count_true
 
+#: Rows that are looked at before a column is evaluated in full.
+LOOK_ROWS = 1000
+
 
 def _strip(name: str) -> str:
     return name.strip(WHITE_SPACE)
@@ -92,15 +95,22 @@ def merge_columns(
 
 
 def empty_columns(df: DataFrame, condition: str = "all", trim: bool = True) -> list[str]:
-    """Columns that are blank in every row (``all``) or in some row. One aggregation."""
+    """Columns that are blank in every row (``all``; all of them if there are no rows) or in some row (``any``).
+
+    The first rows decide most columns: one filled cell is enough to keep a column, or one blank cell to
+    drop it. Only the columns they leave open are read and evaluated in full, by one aggregation.
+    """
     columns = data_columns(df)
+    wanted = {c: ~is_blank(ref(c), trim) if condition == "all" else is_blank(ref(c), trim) for c in columns}
     if not columns:
         return []
-    blanks = [F.count_if(is_blank(ref(c), trim)) for c in columns]
-    rows, *counts = df.agg(F.count("*"), *blanks).first()
-    if condition == "all":
-        return [c for c, n in zip(columns, counts, strict=True) if n == rows]
-    return [c for c, n in zip(columns, counts, strict=True) if n > 0]
+    rows = df.select([wanted[c].alias(f"c{k}") for k, c in enumerate(columns)]).take(LOOK_ROWS)
+    seen = {c for k, c in enumerate(columns) if any(r[k] for r in rows)}
+    rest = [c for c in columns if c not in seen]
+    if rest and len(rows) == LOOK_ROWS:
+        found = df.agg(*[F.max(wanted[c]).alias(f"c{k}") for k, c in enumerate(rest)]).first()
+        seen |= {c for c, has in zip(rest, found, strict=True) if has}
+    return [c for c in columns if (c in seen) == (condition != "all")]
 
 
 def remove_empty_columns(
