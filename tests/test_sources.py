@@ -7,6 +7,7 @@ from tidyloom.operators.order import in_order
 from tidyloom.plans.clean import clean
 from tidyloom.plans.files import export_file, preview_file
 from tidyloom.plans.preview import preview
+from tidyloom.sources import readers
 from tidyloom.sources.batch import by_source, clean_many, sources_in
 from tidyloom.sources.generator import VALUES, dirty_table
 from tidyloom.sources.headers import normalize_headers
@@ -377,3 +378,22 @@ def test_account_says_what_reading_pads_and_cuts(spark, tmp_path):
     assert [(r["records"], r["short"], r["long"]) for r in found] == [(200, 100, 50)] * 3
     table = load(spark, str(tmp_path), "csv")
     assert table.count() == 600 and table.where("c = ''").count() == 300
+
+
+def test_a_batch_of_csv_files_is_looked_at_by_one_pass(spark, tmp_path, monkeypatch):
+    """Headers and soundness of all files at once; then each group is read, whatever the number of files."""
+    for k in range(6):
+        (tmp_path / f"{k}.csv").write_text("id,v\n" + "\n".join(f"{i},{'' if i % 2 else k}" for i in range(4)))
+    (tmp_path / "other.csv").write_text("id,w\n1,2\n")
+    rules = {"missing": {"fillForwardBackward": {"enabled": True, "columns": ["v", "w"]}}}
+    passes, lines = [], readers.lines_of
+    monkeypatch.setattr(readers, "lines_of", lambda spark, paths: passes.append(len(paths)) or lines(spark, paths))
+    files = sources_in(spark, str(tmp_path))
+    batches = clean_many(spark, dict.fromkeys(files, rules))
+    assert passes == [7] and sorted(len(b.sources) for b in batches) == [1, 6]
+    large = next(b for b in batches if len(b.sources) == 6)
+    got = {(r["source"].rpartition("/")[2], r["id"]): r["v"] for r in by_source(large).collect()}
+    assert got == {(f"{k}.csv", str(i)): str(k) for k in range(6) for i in range(4)}
+    (tmp_path / "2.csv").write_text('id,v\n"1\n2",3\n')
+    with pytest.raises(ValueError, match="2.csv"):
+        clean_many(spark, dict.fromkeys(files, rules))

@@ -51,19 +51,19 @@ def clean_many(
         source_format, layout = formats[path], layouts[path]
         alone = i if rules.columns.remove_empty_cols.enabled else None
         text = json.dumps(rules.to_document(), sort_keys=True)
-        key = (text, layout, source_format, alone)
+        key = (text, layout.key, source_format, alone)
         groups.setdefault(key, []).append(path)
-        rules_of[key] = rules
+        rules_of[key] = rules, layout.header
     return [
-        Batch(tuple(paths), _clean_group(spark, paths, key[2], rules_of[key], multi_line))
+        Batch(tuple(paths), _clean_group(spark, paths, key[2], *rules_of[key], multi_line))
         for key, paths in groups.items()
     ]
 
 
 def _clean_group(
-    spark: SparkSession, paths: Sequence[str], fmt: str, rules: CleaningRules, multi_line: bool
+    spark: SparkSession, paths: Sequence[str], fmt: str, rules: CleaningRules, header: Sequence[str | None] | None, multi_line: bool
 ) -> CleanResult:
-    table = load(spark, paths, fmt, multi_line=multi_line, by_path=True)
+    table = load(spark, paths, fmt, multi_line=multi_line, by_path=True, header=header)
     return clean(table.withColumnRenamed(FILE, SCOPE), rules)
 
 

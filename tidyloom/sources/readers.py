@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from urllib.parse import quote, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,7 @@ def load(
     validate: bool = True,
     schema: T.StructType | str | None = None,
     by_path: bool = False,
+    header: Sequence[str | None] | None = None,
 ) -> DataFrame:
     """A text table from one source. Files carry their row order; tables need ``order_by``.
 
@@ -69,11 +71,12 @@ def load(
     saves the pass over the lines of CSV files that are known to be sound: the first header found is
     then applied to all of them. ``schema`` gives the columns of JSON, which are otherwise inferred
     from the whole input. ``by_path`` marks rows with the path of their file instead of its number.
+    ``header`` has the raw cells of the header of sound CSV files, whose lines are then read once.
     """
     paths = [path] if isinstance(path, str) else list(path)
     fmt = fmt.lower() if fmt else format_of(paths[0])
     if fmt == "csv":
-        return _read_csv(spark, paths, multi_line, header_style, validate, by_path)
+        return _read_csv(spark, paths, multi_line, header_style, validate, by_path, header)
     if fmt == "parquet":
         scan = spark.read.option("mergeSchema", True).parquet(*paths)
     elif fmt == "json":
@@ -87,19 +90,28 @@ def load(
     return to_text_table(scan if fmt == "table" else attach_file_order(scan, by_path))
 
 
+@dataclass(frozen=True)
+class Layout:
+    """What the columns of a source are, and the raw header of a CSV file. Sources of one ``key`` can be read together."""
+
+    key: str
+    header: tuple[str | None, ...] | None = None
+
+
 def layouts_of(
     spark: SparkSession, formats: Mapping[str, str], multi_line: bool = False
-) -> dict[str, str]:
-    """Names (and types, where the format has them) of the columns of sources, given by format.
+) -> dict[str, Layout]:
+    """The layouts of sources, given by format.
 
-    Sources of one layout can be read together. All CSV files are looked at by one job.
+    All CSV files are looked at by one job, which also raises on unsound ones, so that they can be
+    loaded with their ``header`` and without another pass over their lines.
     """
-    headers = csv_headers(spark, [p for p, f in formats.items() if f == "csv"], multi_line)
+    headers = csv_headers(spark, [p for p, f in formats.items() if f == "csv"], multi_line, validate=True)
     reader = spark.read.option("multiLine", multi_line)
     return {
-        path: repr(normalize_headers(headers[path]))
+        path: Layout(repr(normalize_headers(headers[path])), tuple(headers[path]))
         if fmt == "csv"
-        else reader.format(fmt).load(path).schema.json()
+        else Layout(reader.format(fmt).load(path).schema.json())
         for path, fmt in formats.items()
     }
 
@@ -111,16 +123,35 @@ def csv_header(spark: SparkSession, path: str, multi_line: bool = False) -> list
 
 
 def csv_headers(
-    spark: SparkSession, paths: Sequence[str], multi_line: bool = False
+    spark: SparkSession, paths: Sequence[str], multi_line: bool = False, validate: bool = False
 ) -> dict[str, list[str | None]]:
-    """The header of each of many files, by one job; a file without lines has none."""
+    """The header of each of many files, by one job; a file without lines has none.
+
+    ``validate`` raises if a quoted cell goes on in the next line, unless lines are joined by ``multi_line``.
+    """
     if not paths:
         return {}
-    first = F.expr("min_by(value, number)").alias("value")
-    lines = lines_of(spark, paths).where("block = 0 and value <> ''").groupBy("file").agg(first)
-    found = {urlsplit(r["file"]).path: r for r in lines.select("value", "file").collect()}
+    lines = _inspected(spark, paths).select("header", "file", "odd").where("header is not null").collect()
+    found = {urlsplit(r["file"]).path: r for r in lines}
+    if validate and not multi_line:
+        _require_whole(min((r["file"] for r in lines if r["odd"]), default=None))
     by_path = {p: found.get(quote(urlsplit(p).path if "://" in p else p.removeprefix("file:"))) for p in paths}
-    return {p: _cells(spark, r, multi_line) for p, r in by_path.items()}
+    return {p: _cells(spark, r and (r["header"], r["file"]), multi_line) for p, r in by_path.items()}
+
+
+def _inspected(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(file, header, odd)`` of each file, in one pass: its first line, and how many lines have an odd number of quotes."""
+    first = F.expr("min_by(value, number) filter (where block = 0 and value <> '')")
+    # Quotes come in pairs within a record, so an odd line is part of a longer one.
+    odd = F.count_if(F.length("value") % 2 != F.length(F.replace("value", F.lit('"'))) % 2)
+    return lines_of(spark, paths).groupBy("file").agg(
+        F.regexp_replace(first, "^\ufeff", "").alias("header"), odd.alias("odd")
+    )
+
+
+def _require_whole(broken: str | None) -> None:
+    if broken:
+        raise ValueError(f"a quoted cell goes on in the next line in {broken}: use multi_line=True")
 
 
 def lines_of(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -148,13 +179,7 @@ def _inspect(spark: SparkSession, paths: Sequence[str], multi_line: bool) -> tup
 
     Two reductions, by file and of the files' rows, so one row comes to the driver.
     """
-    first = F.expr("min_by(value, number) filter (where block = 0 and value <> '')")
-    # Quotes come in pairs within a record, so an odd line is part of a longer one.
-    odd = F.count_if(F.length("value") % 2 != F.length(F.replace("value", F.lit('"'))) % 2)
-    files = lines_of(spark, paths).groupBy("file").agg(
-        F.regexp_replace(first, "^\ufeff", "").alias("header"), odd.alias("odd")
-    )
-    files = files.where("header is not null")
+    files = _inspected(spark, paths).where("header is not null")
     low, high, broken = files.agg(
         F.min(F.struct("header", "file")),
         F.max(F.struct("header", "file")),
@@ -165,15 +190,18 @@ def _inspect(spark: SparkSession, paths: Sequence[str], multi_line: bool) -> tup
             f"files with different headers in one table: {low['file']} has {low['header']!r}, "
             f"{high['file']} has {high['header']!r}"
         )
-    if broken and not multi_line:
-        raise ValueError(f"a quoted cell goes on in the next line in {broken}: use multi_line=True")
+    if not multi_line:
+        _require_whole(broken)
     return low
 
 
 def _read_csv(
-    spark: SparkSession, paths: Sequence[str], multi_line: bool, header_style: str, validate: bool, by_path: bool
-) -> DataFrame:
-    if validate:
+    spark: SparkSession, paths: Sequence[str], multi_line: bool, header_style: str, validate: bool,
+    by_path: bool, header: Sequence[str | None] | None,
+) -> DataFrame:
+    if header is not None:
+        cells = list(header)
+    elif validate:
         cells = _cells(spark, _inspect(spark, paths, multi_line), multi_line)
     else:
         cells = next((h for p in paths if (h := csv_header(spark, p, multi_line))), [])
