@@ -122,3 +122,21 @@ def test_removing_empty_rows_does_not_evaluate_the_formats_twice(spark, plan):
         "missing": {"removeEmptyRows": {"enabled": True, "condition": "any"}},
     }
     assert plan(clean(df, rules).df).count("regexp_replace") == 1
+
+
+def test_table_and_statistics_come_from_one_evaluation(spark, plan):
+    """With ``cuts="always"`` neither plan holds a rule any more; the counters are those of separate evaluations."""
+    df = attach_key_order(spark.read.parquet(f"{SF}/events.parquet"), "event_id")
+    rules = {
+        "format": {"text": {"enabled": True, "trim": True, "collapseSpaces": True}},
+        "missing": {
+            "fillForwardBackward": {"enabled": True, "columns": ["props"], "limit": 1},
+            "removeEmptyRows": {"enabled": True, "condition": "any"},
+        },
+    }
+    once, twice = clean(df, rules, cuts="always"), clean(df, rules, cuts="never")
+    for frame in (once.df, once.stats):
+        text = plan(frame)
+        assert "regexp" not in text and "events.parquet" not in text and text.count("FileScan") == 1
+    assert once.stats.collect() == twice.stats.collect()
+    assert once.df.count() == twice.df.count() and once.df.columns == twice.df.columns

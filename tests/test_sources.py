@@ -5,7 +5,7 @@ import pytest
 from tidyloom.names import data_columns, drop_hidden
 from tidyloom.operators.order import in_order
 from tidyloom.plans.clean import clean
-from tidyloom.plans.files import export_file, preview_file
+from tidyloom.plans.files import export_file, export_with_stats, preview_file
 from tidyloom.plans.preview import preview
 from tidyloom.sources import readers
 from tidyloom.sources.batch import by_source, clean_many, sources_in
@@ -397,3 +397,16 @@ def test_a_batch_of_csv_files_is_looked_at_by_one_pass(spark, tmp_path, monkeypa
     (tmp_path / "2.csv").write_text('id,v\n"1\n2",3\n')
     with pytest.raises(ValueError, match="2.csv"):
         clean_many(spark, dict.fromkeys(files, rules))
+
+
+def test_export_with_statistics(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("k,v\n1, a \n2,\n1, a \n3,  \n,\n")
+    rules = {
+        "format": {"text": {"enabled": True, "trim": True}},
+        "dedup": {"enabled": True, "mode": "wholeRow"},
+        "missing": {"removeEmptyRows": {"enabled": True, "condition": "all"}},
+    }
+    target, stats = export_with_stats(spark, str(tmp_path / "t.csv"), rules, str(tmp_path / "out"))
+    assert [tuple(r) for r in drop_hidden(in_order(load(spark, target, "csv"))).collect()] == [("1", "a"), ("2", ""), ("3", "")]
+    counts = {c: stats[c] for c in ("rowsBefore", "rowsAfter", "removedDuplicates", "removedEmptyRows", "cleanedTextCells")}
+    assert counts == {"rowsBefore": 5, "rowsAfter": 3, "removedDuplicates": 1, "removedEmptyRows": 1, "cleanedTextCells": 3}

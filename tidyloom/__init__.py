@@ -1,7 +1,7 @@
 """Rule-driven cleaning of dirty tables on Spark."""
 
 from tidyloom.plans.clean import CleanResult, clean
-from tidyloom.plans.files import export_file, preview_file
+from tidyloom.plans.files import export_file, export_with_stats, preview_file
 from tidyloom.plans.preview import clip, preview, preview_document
 from tidyloom.plans.stats import nothing_matched, shrink_rate
 from tidyloom.rules import CleaningRules, default_document
@@ -25,6 +25,7 @@ __all__ = [
     "default_document",
     "dirty_table",
     "export_file",
+    "export_with_stats",
     "fit_shuffles",
     "load",
     "nothing_matched",

@@ -21,7 +21,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.names import BOOKKEEPING, SCOPE, data_columns, drop_hidden, ref, refs, require_free
+from tidyloom.names import BOOKKEEPING, HIDDEN, SCOPE, data_columns, drop_hidden, ref, refs, require_free
 from tidyloom.operators.columns import (
     drop_columns,
     merge_columns,
@@ -47,6 +47,9 @@ from tidyloom.sources.text_table import to_text_table
 from tidyloom.streaming.guard import require_row_local
 
 
+_GONE = HIDDEN + "gone"
+
+
 @dataclass(frozen=True)
 class CleanResult:
     """The cleaned table, still in step with its row order, and its statistics."""
@@ -82,8 +85,9 @@ def clean(
     independent tables: duplicates, fills and statistics stay within its values.
 
     ``cuts`` says where the lineage is cut: where a later step would repeat a shuffle of
-    the whole table or must find the same scan again (``needed``), also after every
-    other such shuffle, for a caller that reads both the table and the statistics
+    the whole table or must find the same scan again (``needed``), also after duplicates
+    and at the point where the statistics are counted, for a caller that reads both the table
+    and the statistics: both then come from one evaluation of the rules behind the duplicates
     (``always``), or nowhere (``never``).
     """
     rules = CleaningRules.parse(rules)
@@ -118,12 +122,16 @@ def clean(
             df = cut(df)
         f = missing.fill_forward_backward
         df = fill_directional(df, f.columns, f.directions, f.limit, trim, TALLIES["directional"])
-        df = _cut_if(prunes, df, cuts)
+        if cuts == "needed":
+            df = _cut_if(prunes, df, cuts)
 
     gone = F.lit(False)
     if missing.remove_empty_rows.enabled:
         r = missing.remove_empty_rows
         gone = empty_row(df, r.condition, r.columns_mode, r.columns, trim)
+    if cuts == "always":
+        df = cut(df.withColumn(_GONE, gone))
+        gone = ref(_GONE)
     measures.append(Measure(df, "after" if dedup_early else "only", gone))
     if missing.remove_empty_rows.enabled:
         df = drop_rows(df, gone)
@@ -204,5 +212,5 @@ def _dedup(df: DataFrame, rules: CleaningRules) -> DataFrame:
 
 
 def _without_tallies(df: DataFrame) -> DataFrame:
-    tallies = set(TALLIES.values())
+    tallies = {*TALLIES.values(), _GONE}
     return df.select(refs(c for c in df.columns if c not in tallies))

@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
-from tidyloom.plans.clean import clean
+from tidyloom.plans.clean import CleanResult, clean
 from tidyloom.plans.preview import PREVIEW_ROWS, preview_document
 from tidyloom.rules import CleaningRules
 from tidyloom.sources.readers import load
@@ -37,6 +37,32 @@ def export_file(
 ) -> str:
     """Clean a whole file and write all rows below ``folder``; return where."""
     result = clean(load(spark, path, **reading), rules)
+    return _written(result, path, folder, fmt, keep_order, clock)
+
+
+def export_with_stats(
+    spark: SparkSession,
+    path: str,
+    rules: Rules,
+    folder: str,
+    fmt: str = "csv",
+    *,
+    keep_order: bool = True,
+    clock: Callable[[], datetime] = datetime.now,
+    **reading: Any,
+) -> tuple[str, dict[str, int]]:
+    """``export_file``, and the statistics. The rules are evaluated once: both are read from the table that they gave.
+
+    The statistics are sums over rows of a table that was committed, so a task that was run again counts once.
+    """
+    result = clean(load(spark, path, **reading), rules, cuts="always")
+    target = _written(result, path, folder, fmt, keep_order, clock)
+    return target, result.stats.first().asDict()
+
+
+def _written(
+    result: CleanResult, path: str, folder: str, fmt: str, keep_order: bool, clock: Callable[[], datetime]
+) -> str:
     name = path.rstrip("/").rpartition("/")[2]
     target = f"{folder.rstrip('/')}/{cleaned_name(name, fmt, clock)}"
     write(result.ordered, target, fmt, keep_order=keep_order)
