@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,6 +133,23 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def save_arrays(folder: str, **arrays: np.ndarray) -> str:
+    """Write arrays to a file of a new name; its path."""
+    store, base = file_system(folder)
+    store.create_dir(base, recursive=True)
+    name, data = f"{uuid.uuid4()}.npz", io.BytesIO()
+    np.savez(data, **arrays)
+    with store.open_output_stream(f"{base}/{name}") as out:
+        out.write(data.getvalue())
+    return f"{folder}/{name}"
+
+
+def load_arrays(path: str) -> dict[str, np.ndarray]:
+    store, at = file_system(path)
+    with store.open_input_file(at) as stream:
+        return dict(np.load(io.BytesIO(stream.read())))
+
+
 def one_file_a_task(files: DataFrame) -> DataFrame:
     """Deal a counted list of files to as many tasks."""
     return files.repartition(max(1, min(files.count(), 100_000)))

@@ -8,8 +8,9 @@ vectors as given.
 
 Which tiles meet: only vectors of one label and length are compared, and a cosine of ``c`` bounds the
 difference of the first coordinate by ``sqrt(2 - 2c)``, so a vector meets its own cell of that width
-and the next one. Cells are dealt into tiles of about ``TILE`` rows; a task holds two tiles, however
-large a label or a cell is. Equal vectors of a label are one row with a count.
+and the next one. Cells are dealt into tiles of about ``TILE`` rows, which are written to the shared folder
+once; a meeting is a pair of file names, and reads its two tiles. So vectors are shuffled once, however
+large a label or a cell is, and a task holds two tiles. Equal vectors of a label are one row with a count.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm.common import column, join_hot, map_pandas
+from tidyloom.llm.common import column, join_hot, load_arrays, map_pandas, new_folder, one_file_a_task, save_arrays
 from tidyloom.llm.components import local_roots, smallest_members
 from tidyloom.session import cut
 
-THRESHOLD, TILE = 0.93, 1024
+THRESHOLD, TILE = 0.93, 2048
 #: Coordinates of the first two blocks; a third has the rest.
 BLOCKS = (8, 24)
 
@@ -140,44 +141,36 @@ def _compare(classes: DataFrame, threshold: float) -> DataFrame:
     placed = cut(placed)
     where = ["label", "size", "cell"]
     full = placed.groupBy(*where).agg(F.count("*").alias("n"))
-    tiles = full.select(*where, "n", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    after = tiles.select("label", "size", (F.col("cell") - 1).alias("cell"), F.col("tiles").alias("next_tiles"))
-    before = tiles.select("label", "size", (F.col("cell") + 1).alias("cell"), F.col("tiles").alias("last_tiles"))
-    tiles = cut(tiles.join(after, where, "left").join(before, where, "left").na.fill(0, ["next_tiles", "last_tiles"]))
+    tiles = cut(full.select(*where, "n", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
     dealt = join_hot(placed, tiles, where, "n").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # A meeting is a cell with two tile numbers: of the cell itself, or of the cell and (negative numbers) the next one.
-    own = F.transform(
-        F.sequence(F.lit(0), F.col("tiles") - 1),
-        lambda t: F.struct(F.col("cell").alias("at"), F.least("tile", t).alias("p"), F.greatest("tile", t).alias("q")),
-    )
-    none = F.array().cast("array<struct<at:int,p:int,q:int>>")
-    right = F.when(
-        F.col("next_tiles") > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest("next_tiles", F.lit(1))), lambda t: F.struct(F.col("cell").alias("at"), F.col("tile").alias("p"), (-t).alias("q"))),
-    ).otherwise(none)
-    left = F.when(
-        F.col("last_tiles") > 0,
-        F.transform(F.sequence(F.lit(0), F.greatest("last_tiles", F.lit(1)) - 1), lambda t: F.struct((F.col("cell") - 1).alias("at"), t.alias("p"), (-F.col("tile") - 1).alias("q"))),
-    ).otherwise(none)
-    meetings = dealt.select("node", "copies", "label", "size", "embedding", "cell", "tile", F.explode(F.concat(own, right, left)).alias("m"))
-    meetings = meetings.select("node", "copies", "label", "size", "embedding", "cell", "tile", "m.at", "m.p", "m.q")
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        at, p, q, size = (group[c].iloc[0] for c in ("at", "p", "q", "size"))
-        x = np.stack(group["embedding"].to_list())
-        side = ((group["cell"] == at) & (group["tile"] == p)).to_numpy()
-        one, two = np.flatnonzero(side), np.flatnonzero(~side)
-        if p == q:
-            two = one
-        if not len(one) or not len(two):
-            return pd.DataFrame({"node": [], "links": [], "root": []})
-        i, j = linked_pairs(x[one], x[two], axes.get(int(size)), threshold)
-        i, j = one[i], two[j]
-        if p == q:
-            i, j = i[i < j], j[i < j]
-        copies, node = group["copies"].to_numpy(), group["node"].to_numpy()
-        links = np.bincount(i, copies[j], len(group)) + np.bincount(j, copies[i], len(group))
-        has = links > 0
-        return pd.DataFrame({"node": node[has], "links": links[has].astype(np.int64), "root": node[local_roots(len(group), i, j)][has]})
-
-    return meetings.groupBy("label", "size", "at", "p", "q").applyInPandas(meet, "node bigint, links bigint, root bigint")
+    folder = new_folder(classes.sparkSession, "tiles")
+
+    def store(group: pd.DataFrame) -> pd.DataFrame:
+        path = save_arrays(folder, x=np.stack(group["embedding"].to_list()), node=group["node"].to_numpy(), copies=group["copies"].to_numpy())
+        return group[[*where, "tile"]].head(1).assign(path=path)
+
+    stored = cut(dealt.groupBy(*where, "tile").applyInPandas(store, f"label {kind['label']}, size int, cell int, tile int, path string"))
+    # A meeting is two tiles of one cell (or one tile with itself), or one of a cell and one of the next.
+    one = stored.select(*where, F.col("tile").alias("p"), F.col("path").alias("one"))
+    two = stored.select(*where, F.col("tile").alias("q"), F.col("path").alias("two"))
+    own = one.join(two, where).where("p <= q")
+    beside = one.join(two.withColumn("cell", F.col("cell") - 1), where)
+    meetings = cut(own.unionByName(beside).select("size", "one", "two"))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for size, p, q in zip(b["size"], b["one"], b["two"], strict=True):
+                first = load_arrays(p)
+                second = first if p == q else load_arrays(q)
+                i, j = linked_pairs(first["x"], second["x"], axes.get(int(size)), threshold)
+                if p == q:
+                    i, j = i[i < j], j[i < j]
+                    node, copies = first["node"], first["copies"]
+                else:
+                    node, copies = (np.concatenate([first[c], second[c]]) for c in ("node", "copies"))
+                    j = j + len(first["node"])
+                links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+                has = links > 0
+                yield pd.DataFrame({"node": node[has], "links": links[has].astype(np.int64), "root": node[local_roots(len(node), i, j)][has]})
+
+    return map_pandas(one_file_a_task(meetings), meet, "node bigint, links bigint, root bigint")

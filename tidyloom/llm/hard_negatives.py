@@ -15,8 +15,6 @@ reads a block of anchors and ``TREES_A_MEETING`` trees, the most promising first
 
 from __future__ import annotations
 
-import io
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidyloom.llm.common import column, file_system, map_pandas, new_folder, one_file_a_task, sized
+from tidyloom.llm.common import column, load_arrays, map_pandas, new_folder, one_file_a_task, save_arrays, sized
 from tidyloom.session import cut
 
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 5, 80, 100
@@ -38,22 +36,6 @@ WIDTH, LEAF = 4, 8
 _SLACK = 1e-6
 
 
-def _save(folder: str, **arrays: np.ndarray) -> str:
-    store, base = file_system(folder)
-    store.create_dir(base, recursive=True)
-    name, data = f"{uuid.uuid4()}.npz", io.BytesIO()
-    np.savez(data, **arrays)
-    with store.open_output_stream(f"{base}/{name}") as out:
-        out.write(data.getvalue())
-    return f"{folder}/{name}"
-
-
-def _load(path: str) -> dict[str, np.ndarray]:
-    store, at = file_system(path)
-    with store.open_input_file(at) as stream:
-        return dict(np.load(io.BytesIO(stream.read())))
-
-
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of integer vectors; beyond 64 bits they raise."""
     top = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * max(1, q.shape[1])
@@ -248,7 +230,7 @@ def build_trees(rows: DataFrame) -> DataFrame:
 
     def plant(group: pd.DataFrame) -> pd.DataFrame:
         tree = CoverTree.of(np.stack(group["x"].to_list()).reshape(len(group), -1))
-        path = _save(
+        path = save_arrays(
             folder, **vars(tree) | {"length": np.array(tree.length)}, ids=group["vec_id"].fillna(0).astype(np.int64).to_numpy(),
             null=group["vec_id"].isna().astype(np.int64).to_numpy(), label=group["label"].to_numpy(), row=group["row"].to_numpy(),
         )
@@ -271,7 +253,7 @@ def best_in_windows(trees: DataFrame, asks: DataFrame, same: bool, top: int) ->
         width = max(len(w) for w in group["windows"])
         window = np.array([[*[(r["low"], r["high"]) for r in w], *[(1, 0)] * (width - len(w))] for w in group["windows"]], np.int64)
         x = np.stack(group["x"].to_list()).reshape(len(group), -1)
-        path = _save(folder, x=x, label=group["label"].to_numpy(), row=group["row"].to_numpy(), low=window[:, :, 0], high=window[:, :, 1])
+        path = save_arrays(folder, x=x, label=group["label"].to_numpy(), row=group["row"].to_numpy(), low=window[:, :, 0], high=window[:, :, 1])
         return pd.DataFrame({"length": [group["length"].iloc[0]], "anchors": [path]})
 
     blocks = cut(dealt.groupBy("length", "block").applyInPandas(store, "length int, anchors string"))
@@ -282,13 +264,13 @@ def best_in_windows(trees: DataFrame, asks: DataFrame, same: bool, top: int) ->
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, paths in zip(b["anchors"], b["trees"], strict=True):
-                ask = Asks(**_load(path), same=same, top=top)
+                ask = Asks(**load_arrays(path), same=same, top=top)
                 first = {}
                 for p in paths:
-                    tree = _load(p)
+                    tree = load_arrays(p)
                     first[p] = float((ask.x @ tree["x"][tree["child"][0]]).mean())
                 for p in sorted(paths, key=lambda p: -first[p]):
-                    data = _load(p)
+                    data = load_arrays(p)
                     tree = CoverTree(*[data[f] for f in ("x", "length", "radius", "begin", "child", "below")])
                     descend(tree, ask, *[data[f] for f in ("ids", "null", "label", "row")])
                 f = ask.found
