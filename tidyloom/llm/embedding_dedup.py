@@ -27,7 +27,7 @@ from tidyloom.llm.common import column, join_hot, load_arrays, map_pandas, new_f
 from tidyloom.llm.components import local_roots, smallest_members
 from tidyloom.session import cut
 
-THRESHOLD, TILE = 0.93, 2048
+THRESHOLD, TILE = 0.93, 1024
 #: Coordinates of the first two blocks; a third has the rest.
 BLOCKS = (8, 24)
 
@@ -68,6 +68,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _dots(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows ``i`` of ``x`` and ``j`` of ``y``; few are gathered at once, as all pairs of two tiles may be near."""
+    out = np.empty(len(i))
+    for s in range(0, len(i), 1 << 16):
+        part = slice(s, s + (1 << 16))
+        out[part] = np.einsum("nd,nd->n", x[i[part]], y[j[part]])
+    return out
+
+
 def linked_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the pairs of ``x`` and ``y`` with at least that cosine."""
     a, b = _unit(x), _unit(y)
@@ -85,12 +94,12 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray | None, threshol
                 i, j = np.nonzero(alive)
                 total = total[i, j]
         else:
-            total = total + np.einsum("nd,nd->n", a[i, at:end], b[j, at:end])
+            total = total + _dots(a[:, at:end], b[:, at:end], i, j)
             alive = total + rest_a[i] * rest_b[j] >= threshold - slack
             i, j, total = i[alive], j[alive], total[alive]
         at = end
-    p, q = x[i].astype(np.float64), y[j].astype(np.float64)
-    cosine = np.einsum("nd,nd->n", p, q) / (np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1))
+    p, q = x.astype(np.float64), y.astype(np.float64)
+    cosine = _dots(p, q, i, j) / (np.linalg.norm(p, axis=1)[i] * np.linalg.norm(q, axis=1)[j])
     return i[cosine >= threshold], j[cosine >= threshold]
 
 
