@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tidyloom.llm import contamination, language_id, packing, secrets, simhash
 from tidyloom.llm.common import new_folder, parquet
 
-#: A document is rejected if no language is recognized.
-LEAST_SCORE = 0.0
+#: A document is rejected if no language has the greater part of the probability: what is named then is oftener wrong than right.
+LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a recognized language; ``lang`` is replaced by the one that was found.
 
-    The model learns from the labelled documents of two of three folds.
+    The model learns from the labelled documents of two of three folds. The last stage packs by this ``lang``.
     """
     model = language_id.fit(docs.where(~language_id.held_out()))
     return language_id.keep_identified(docs, model, LEAST_SCORE)
@@ -41,8 +41,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of documents in training sequences, each of which is of one identified language, ``lang``."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), group_col="lang").withColumnRenamed("group", "lang")
 
 
 STAGES = [

@@ -155,6 +155,18 @@ def test_packing(spark):
     assert packing.pack(empty(spark), WORDS).count() == 0
 
 
+def test_packing_by_group(spark):
+    rows = [(k, f"word number {k} " * (1 + k % 9), f"g{k % 150}" if k % 150 else None) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, group string").coalesce(1)  # more groups than a task keeps open
+    got = packing.pack(docs, WORDS, group_col="group").collect()
+    tokenizer = Tokenizer.from_file(WORDS)
+    lengths = packed(got, {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t, _ in rows})
+    assert all(n & (n - 1) == 0 for n in lengths)
+    own = {i: g for i, _, g in rows}
+    assert all(r["group"] == own[r["doc_id"]] for r in got)
+    assert len({(r["sequence_id"], r["group"]) for r in got}) == len(lengths)
+
+
 def test_packing_under_three_limits():
     rng = np.random.default_rng(8)
     packer = packing.Packer(tokens=256, segments=4, loss=100)

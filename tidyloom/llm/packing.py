@@ -8,12 +8,13 @@ task is laid out anew into full sequences and, for the rest, sequences whose len
 two, which need no padding.
 
 Every task packs the rows it reads: there is no shuffle, and memory holds the open sequences only.
+Documents of different groups, as of different languages, are packed apart.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +27,8 @@ from tidyloom.llm.common import column, map_pandas
 from tidyloom.llm.tokenizing import word_cache
 
 MAX_TOKENS, MAX_SEGMENTS, OPEN = 4096, 64, 48
+#: Groups for which a task holds open sequences; those of the group unused for longest are finished first.
+GROUPS = 64
 END_ID = 2
 
 
@@ -145,51 +148,65 @@ class Packer:
 def pack(
     df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
     tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int | None = None, end_id: int = END_ID,
-    prompt_col: str | None = None,
+    prompt_col: str | None = None, group_col: str | None = None,
 ) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, segment, loss_tokens)``, a row for each piece.
 
     A document is its ids and the end id, all of which bear loss. With ``prompt_col`` the ids of that text stand in
     front of it and bear no loss (instruction data); a null prompt has none. A null or empty text is the end id alone.
+    With ``group_col`` a sequence holds documents of one value of that column only, which is returned as ``group``; null
+    is a value too.
     Every row is a document, whether or not its identifier is null or repeated. Sequences are numbered
     within a task (the task's number stands in the upper bits), so a task that is run again gives the
     same rows if it reads the same, as it does from files. An empty table gives no rows. Other columns
     are not read.
     """
     prompt = F.lit(None).cast("string") if prompt_col is None else column(prompt_col)
-    rows = df.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), prompt.alias("prompt"))
+    group = F.lit(None).cast("string") if group_col is None else column(group_col).cast("string")
+    rows = df.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), prompt.alias("prompt"), group.alias("group"))
     kind = dict(rows.dtypes)["doc_id"]
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens", "group"]
+    wanted = names[:-1] if group_col is None else names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, packer = word_cache(tokenizer), Packer(tokens, segments, tokens if loss is None else loss)
+        cache, packers = word_cache(tokenizer), {}
         number, out = TaskContext.get().partitionId() << 40, []
 
-        def take(sequences) -> None:
+        def packer_of(group: str | None) -> Packer:
+            if group not in packers and len(packers) >= GROUPS:
+                unused = next(iter(packers))
+                take(unused, packers.pop(unused).finish())
+            packers[group] = packers.pop(group, None) or Packer(tokens, segments, tokens if loss is None else loss)
+            return packers[group]
+
+        def take(group: str | None, sequences: Iterable[list[Piece]]) -> None:
             nonlocal number
             for sequence in sequences:
                 at = 0
                 for k, (example, a, z) in enumerate(sequence):
                     crc = zlib.crc32(example.ids[a:z].astype("<u4").tobytes())
-                    out.append((example.doc_id, a, z - a, crc, len(example.ids), number, at, k, example.loss_in(a, z)))
+                    out.append((example.doc_id, a, z - a, crc, len(example.ids), number, at, k, example.loss_in(a, z), group))
                     at += z - a
                 number += 1
 
         def rows_out() -> pd.DataFrame:
-            frame = pd.DataFrame(out, columns=names)
+            frame = pd.DataFrame(out, columns=names)[wanted]
             out.clear()
             return frame
 
         end = np.array([end_id], np.uint32)
         for b in batches:
-            for i, before, ids in zip(b["doc_id"], cache.encode(list(b["prompt"])), cache.encode(list(b["text"])), strict=True):
+            groups = b["group"].astype(object).where(b["group"].notna(), None)
+            for i, group, before, ids in zip(b["doc_id"], groups, cache.encode(list(b["prompt"])), cache.encode(list(b["text"])), strict=True):
                 loss_flags = np.append(np.zeros(len(before), bool), np.ones(len(ids) + 1, bool)) if len(before) else None
-                take(packer.add(Example(None if pd.isna(i) else i, np.concatenate([before, ids, end]), loss_flags)))
+                take(group, packer_of(group).add(Example(None if pd.isna(i) else i, np.concatenate([before, ids, end]), loss_flags)))
             if out:
                 yield rows_out()
-        take(packer.finish())
+        for group, packer in packers.items():
+            take(group, packer.finish())
         if out:
             yield rows_out()
 
     fields = ", ".join(f"{n} bigint" for n in names[1:7])
-    return map_pandas(rows, run, f"doc_id {kind}, {fields}, segment int, loss_tokens bigint")
+    last = "" if group_col is None else ", group string"
+    return map_pandas(rows, run, f"doc_id {kind}, {fields}, segment int, loss_tokens bigint{last}")
