@@ -155,6 +155,24 @@ def test_packing(spark):
     assert packing.pack(empty(spark), WORDS).count() == 0
 
 
+def test_rounds_look_at_pairs_that_may_be_frequent_only(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([rng.integers(0, 30_000, 100_000), np.tile(rng.integers(0, 30_000, 50), 400)]).astype(np.uint32)
+    seen, frequent = [], token_files._frequent
+    monkeypatch.setattr(token_files, "_frequent", lambda seq, places, most: seen.append(len(places)) or frequent(seq, places, most))
+    rules, size, symbols, _ = token_files.compress(ids, np.array([0, 100_000]), 30_000)
+    assert np.array_equal(token_files.expand(symbols, rules, size, 30_000), ids)
+    assert len(seen) > 3 and max(seen[1:]) < len(ids) / 4
+
+
+def test_known_pieces_are_not_sorted(monkeypatch):
+    cache = tokenizing.WordCache(WORDS)
+    texts = ["some words, known from the first time on", "ünd other wörds"]
+    want = [g.tolist() for g in cache.encode(texts)]
+    monkeypatch.setattr(np, "unique", None)
+    assert [g.tolist() for g in cache.encode(texts[::-1])] == want[::-1]
+
+
 def test_packing_by_group(spark):
     rows = [(k, f"word number {k} " * (1 + k % 9), f"g{k % 150}" if k % 150 else None) for k in range(900)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, group string").coalesce(1)  # more groups than a task keeps open

@@ -38,8 +38,8 @@ from tidyloom.session import cut
 
 BLOCK_IDS, SHARD_BYTES = 1 << 22, 24 << 20
 RULES_A_ROUND, LEAST_PLACES = 8000, 16
-#: Bits of the hash by which pairs are counted.
-SLOT_BITS = 20
+#: Bits of the hash by which pairs are counted, and places above which their number makes no difference.
+SLOT_BITS, MOST_PLACES = 20, 1 << 16
 END_ID = 0
 MAGIC = b"RPB1"
 _ODDS = np.array([0x9E3779B1, 0x85EBCA77], np.uint32)
@@ -51,9 +51,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
     first = np.zeros(len(seq), bool)
     first[starts] = True
     left, right, size = (np.empty(0, np.uint32) for _ in range(3))
-    while len(seq) > 1:
-        places, pairs, frequent = _frequent(seq, first, 4 * RULES_A_ROUND)
-        chosen = _disjoint(frequent)[:RULES_A_ROUND]
+    # Places of pairs that may still be frequent: a pair gets no more places, so only new pairs join them.
+    places = np.flatnonzero(~first[1:])
+    while len(places):
+        places, pairs, slots, frequent = _frequent(seq, places, 4 * RULES_A_ROUND)
+        chosen = _disjoint(frequent, RULES_A_ROUND)
         if not len(chosen):
             break
         new = terminals + len(left) + np.arange(len(chosen), dtype=np.uint32)
@@ -61,59 +63,76 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
         left, right = np.append(left, a), np.append(right, b)
         grown = [np.where(x < terminals, 1, size[np.maximum(x.astype(np.int64) - terminals, 0)] if len(size) else 1) for x in (a, b)]
         size = np.append(size, (grown[0] + grown[1]).astype(np.uint32))
-        # Only places whose symbols begin and end chosen pairs are looked up.
-        begins, ends = (np.zeros(int(new[-1]) + 1, bool) for _ in range(2))
-        begins[a] = ends[b] = True
-        near = begins[seq[places]] & ends[seq[places + 1]]
-        at, pairs = places[near], pairs[near]
-        by = np.argsort(chosen)
-        slot = np.minimum(np.searchsorted(chosen[by], pairs), len(chosen) - 1)
-        hit = chosen[by][slot] == pairs
-        at, rule = at[hit], by[slot[hit]]
+        rule_of = np.full(1 << SLOT_BITS, -1, np.int32)
+        rule_of[_slots(a, b)] = np.arange(len(chosen))
+        rule = rule_of[slots]
+        near = np.flatnonzero(rule >= 0)
+        hit = near[chosen[rule[near]] == pairs[near]]
+        at, rule = places[hit], rule[hit]
         # Places overlap only in runs of one symbol: take every second of a run.
         run = np.append(True, at[1:] != at[:-1] + 1)
         begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - begin) % 2 == 0
         at, rule = at[take], rule[take]
         seq[at] = new[rule]
-        stay = np.ones(len(seq), bool)
+        stay, live = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         stay[at + 1] = False
-        seq, first = seq[stay], first[stay]
+        live[places] = True
+        seq, first, live = seq[stay], first[stay], live[stay]
+        at -= np.arange(len(at))
+        live[at] = True
+        live[at[at > 0] - 1] = True
+        live[:-1] &= ~first[1:]
+        live[-1] = False
+        places = np.flatnonzero(live)
     return np.stack([left, right]), size, seq, np.flatnonzero(first)
 
 
-def _frequent(seq: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of pairs that may be frequent, the pairs there, and the frequent ones by falling frequency.
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * _ODDS[0] ^ b * _ODDS[1]) >> np.uint32(32 - SLOT_BITS)
+
+
+def _frequent(seq: np.ndarray, places: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``places`` those of pairs that may be frequent, the pairs there, their slots, and the frequent ones by falling frequency.
 
     These are the pairs of at least ``LEAST_PLACES`` places, about the first ``most``. Places are counted by a
     hash first, so only those of pairs that may be among them are looked at further.
     """
-    slot = (seq[:-1] * _ODDS[0] ^ seq[1:] * _ODDS[1]) >> np.uint32(32 - SLOT_BITS)
-    slot[first[1:]] = 0  # no pair; this slot counts a few places too many
+    a, b = seq[places], seq[places + 1]
+    slot = _slots(a, b)
     count = np.bincount(slot, minlength=1 << SLOT_BITS)
-    least = max(LEAST_PLACES, int(np.partition(count, -most)[-most]))
+    live = np.flatnonzero((count >= LEAST_PLACES)[slot])
+    places, slot = places[live], slot[live]
+    pairs = (a[live].astype(np.uint64) << np.uint64(32)) | b[live]
+    reach = np.cumsum(np.bincount(np.minimum(count, MOST_PLACES))[::-1])[::-1]  # slots of so many places at least
+    least = max(LEAST_PLACES, int(np.count_nonzero(reach >= most)) - 1)
     while True:
-        places = np.flatnonzero((count >= least)[slot] & ~first[1:])
-        pairs = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
-        ordered = np.sort(pairs)
+        ordered = np.sort(pairs[(count >= least)[slot]] if least > LEAST_PLACES else pairs)
         edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
         times = np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(times >= least)
         if len(often) or least == LEAST_PLACES:
-            return places, pairs, ordered[edge[often[np.lexsort((ordered[edge[often]], -times[often]))]]]
+            return places, pairs, slot, ordered[edge[often[np.lexsort((ordered[edge[often]], -times[often]))]]]
         least = LEAST_PLACES  # only pairs that share a slot reached that number
 
 
-def _disjoint(pairs: np.ndarray) -> np.ndarray:
-    """Of pairs by falling frequency, those whose left symbol is no earlier right symbol, and the other way round."""
-    lefts, rights, keep = set(), set(), []
-    for p in pairs.tolist():
+def _disjoint(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Of pairs by falling frequency, the first whose left symbol is no earlier right symbol, and the other way round.
+
+    Of those that share a slot the first is taken; the others' turn comes in a later round.
+    """
+    lefts, rights, taken, keep = set(), set(), set(), []
+    slots = _slots((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
+    for p, slot in zip(pairs.tolist(), slots.tolist(), strict=True):
         a, b = p >> 32, p & 0xFFFFFFFF
-        if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
+        if slot in taken or a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
             continue
         lefts.add(a)
         rights.add(b)
+        taken.add(slot)
         keep.append(p)
+        if len(keep) == most:
+            break
     return np.array(keep, np.uint64)
 
 

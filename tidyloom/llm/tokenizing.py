@@ -30,6 +30,8 @@ from tidyloom.llm.common import worker_state
 
 #: Bytes worked on at once, and pieces kept by a worker (some 60 bytes each) before it starts anew.
 SLICE, KEPT = 1 << 20, 600_000
+#: Bits of the places of the table that finds pieces; a slice adds fewer than 2^19 pieces, so half of it stays free.
+TABLE_BITS = 21
 #: Pieces joined for one call of the tokenizer, with and without an added token.
 MARKED, JOINED = 64, 256
 
@@ -58,8 +60,8 @@ class WordCache:
         self._clear()
 
     def _clear(self) -> None:
-        #: Ascending hashes of the known pieces, and the number of each piece.
-        self.hashes, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
+        #: Hashes of the pieces by number, and the numbers from the place on that a hash names.
+        self.hashes, self.table = np.empty(1 << 18, np.uint64), np.full(1 << TABLE_BITS, -1, np.int32)
         self.known, self.used, self.bytes_used = 0, 0, 0
         self.ids, self.text = np.empty(1 << 20, np.uint32), np.zeros(1 << 20, np.uint8)
         #: By number: first id and number of ids, first byte and end in ``text``.
@@ -100,70 +102,94 @@ class WordCache:
             out[i] = len(token)
         return out
 
-    def _apart(self, pieces: list[bytes]) -> np.ndarray:
+    def _apart(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Whether a piece begins with a space and ends with what is surely no white space: two such are cut apart."""
-        first = np.array([p[0] for p in pieces], np.uint8)
-        last, before = (np.array([p[k] if len(p) >= -k else 0 for p in pieces], np.uint8) for k in (-1, -2))
+        last, before = data[ends - 1], np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0)
         solid = ((self.kinds[last] & 4) > 0) | ((self.kinds[before] == 8) & (last >= 0x80))
-        return (first == 32) & solid
+        return (data[starts] == 32) & solid
 
-    def _ids_of(self, part: list[bytes], apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids for pieces, and where each piece begins and ends among them."""
-        words = [p.decode("utf-8", "replace") for p in part]
+    def _ids_of(self, raw: bytes, stops: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids for the pieces of ``raw`` that end at ``stops``, and where each piece begins and ends among them."""
         if apart:
-            got = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-            stops, read = np.cumsum([len(p) for p in part]), np.cumsum(self.spelled[got])
+            got = np.array(self.tokenizer.encode_batch_fast([raw.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+            read = np.cumsum(self.spelled[got])
             ends = np.searchsorted(read, stops)
             if len(got) and read[-1] == stops[-1] and (read[np.minimum(ends, len(read) - 1)] == stops).all():
                 return got, np.append(0, ends[:-1] + 1), ends + 1
+        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
         got = np.array(self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.append(np.flatnonzero(got == self.mark_id), len(got))
-        if len(ends) != len(part):
+        if len(ends) != len(words):
             raise ValueError("the tokenizer's added token did not separate the pieces")
         return got, np.append(0, ends[:-1] + 1), ends
 
-    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Keep the ids and bytes of new pieces; their numbers."""
-        apart = self._apart(pieces) if self.spelled is not None else np.zeros(len(pieces), bool)
-        for flag, step in ((True, JOINED), (False, MARKED)):
-            some = np.flatnonzero(apart == flag).tolist()
-            for s in range(0, len(some), step):
-                self._keep([pieces[k] for k in some[s : s + step]], flag)
-        numbers = np.empty(len(pieces), np.int64)
-        numbers[np.argsort(~apart, kind="stable")] = np.arange(self.known - len(pieces), self.known)
+        apart = self._apart(data, starts, ends) if self.spelled is not None else np.zeros(len(starts), bool)
+        order = np.argsort(~apart, kind="stable")
+        starts, sizes = starts[order], (ends - starts)[order]
+        stops = np.cumsum(sizes)
+        text = data[np.repeat(starts - (stops - sizes), sizes) + np.arange(int(stops[-1]))]
+        raw, n, joined = text.tobytes(), len(order), int(apart.sum())
+        groups = [(s, min(joined, s + JOINED), True) for s in range(0, joined, JOINED)]
+        groups += [(s, min(n, s + MARKED), False) for s in range(joined, n, MARKED)]
+        ids, begin, length, used = [], [], [], self.used
+        for s, e, flag in groups:
+            a = int(stops[s] - sizes[s])
+            got, first, end = self._ids_of(raw[a : int(stops[e - 1])], stops[s:e] - a, flag)
+            ids.append(got)
+            begin.append(used + first)
+            length.append(end - first)
+            used += len(got)
+        at, now = self.known, slice(self.known, self.known + n)
+        for name, size in (("ids", used), ("text", self.bytes_used + len(raw) + 8), *((x, at + n) for x in ("begin", "length", "at", "end", "hashes"))):
+            self._grow(name, size)
+        self.ids[self.used : used] = np.concatenate(ids)
+        self.text[self.bytes_used : self.bytes_used + len(raw)] = text
+        self.begin[now], self.length[now] = np.concatenate(begin), np.concatenate(length)
+        self.at[now], self.end[now] = self.bytes_used + stops - sizes, self.bytes_used + stops
+        self.hashes[now] = hashes[order]
+        self.used, self.bytes_used, self.known = used, self.bytes_used + len(raw), at + n
+        numbers = np.empty(n, np.int64)
+        numbers[order] = np.arange(at, at + n)
+        self._enter(hashes, numbers)
         return numbers
 
-    def _keep(self, part: list[bytes], apart: bool) -> None:
-        got, begins, ends = self._ids_of(part, apart)
-        at, now = self.known, slice(self.known, self.known + len(part))
-        raw = np.frombuffer(b"".join(part), np.uint8)
-        stops = self.bytes_used + np.cumsum([len(p) for p in part])
-        for name, size in (("ids", self.used + len(got)), ("text", self.bytes_used + len(raw) + 8), *((n, at + len(part)) for n in ("begin", "length", "at", "end"))):
-            self._grow(name, size)
-        self.ids[self.used : self.used + len(got)] = got
-        self.text[self.bytes_used : self.bytes_used + len(raw)] = raw
-        self.begin[now], self.length[now] = self.used + begins, ends - begins
-        self.at[now], self.end[now] = np.append(self.bytes_used, stops[:-1]), stops
-        self.used, self.bytes_used, self.known = self.used + len(got), int(stops[-1]), at + len(part)
+    def _enter(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Put pieces of different hashes in the table, each at the first free place from that of its hash on."""
+        place, left = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            free = left[self.table[place[left]] < 0]
+            self.table[place[free]] = numbers[free]
+            left = left[self.table[place[left]] != numbers[left]]
+            place[left] = (place[left] + 1) % len(self.table)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the piece of each hash; -1 if there is none."""
+        place = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        out = self.table[place].astype(np.int64)
+        left = np.flatnonzero((out >= 0) & (self.hashes[out] != hashes))
+        while len(left):
+            place[left] = (place[left] + 1) % len(self.table)
+            out[left] = self.table[place[left]]
+            left = left[(out[left] >= 0) & (self.hashes[out[left]] != hashes[left])]
+        return out
 
-    def _encode_slice(self, data: np.ndarray, starts: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_slice(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces that begin at ``starts``, and how many each has."""
         ends = np.append(starts[1:], len(data))
-        hashes, first, which = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+        hashes = hash_words(data, starts, ends)
         if self.known > KEPT:
             self._clear()
-        place = np.searchsorted(self.hashes, hashes)
-        new = place == len(self.hashes)
-        new[~new] = self.hashes[place[~new]] != hashes[~new]
-        if new.any():
-            number = self._learn([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            self.hashes, self.number = np.insert(self.hashes, place[new], hashes[new]), np.insert(self.number, place[new], number)
-            place = np.searchsorted(self.hashes, hashes)
-        known = self.number[place][which]
+        known = self._find(hashes)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            fresh, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            known[new] = self._learn(data, starts[new[first]], ends[new[first]], fresh)[which]
         ids, begin, sizes = self.ids, self.begin[known], self.length[known]
         wrong = np.flatnonzero(~same_words(data, starts, ends, self.text, self.at[known], self.end[known]))
         if len(wrong):
-            alone = [np.array(self.tokenizer.encode(raw[starts[k] : ends[k]].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) for k in wrong]
+            alone = [np.array(self.tokenizer.encode(data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) for k in wrong]
             sizes[wrong] = [len(x) for x in alone]
             begin[wrong] = len(ids) + np.cumsum([0, *sizes[wrong][:-1]])
             ids = np.concatenate([ids, *alone])
@@ -202,7 +228,7 @@ class WordCache:
         flags = self.cuts(data)
         flags[first] = True
         starts = np.flatnonzero(flags)
-        ids, sizes = self._encode_slice(data, starts, raw)
+        ids, sizes = self._encode_slice(data, starts)
         before = np.concatenate([[0], np.cumsum(sizes)])
         bounds = np.append(before[np.searchsorted(starts, first)], len(ids))
         for (i, _), a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -219,7 +245,7 @@ class WordCache:
             if b - a > SLICE:
                 parts.append(np.array(self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32))
             else:
-                parts.append(self._encode_slice(data[a:b], starts[i:j] - a, raw[a:b])[0])
+                parts.append(self._encode_slice(data[a:b], starts[i:j] - a)[0])
             i = j
         return np.concatenate(parts)
 
